@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -222,6 +222,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(num, den), "u binary, v binary")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of documents without near-copies: of each component the row of least doc_id (then least text hash)."""
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("a"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("b"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    found = ngram_components(rows.select("key", F.col("row.text").alias("text")), id_column="key")
+    kept = found.where("key = component_id").select("key.a", "key.b").distinct()
+    rows = rows.select("row", "key.a", "key.b").join(kept, ["a", "b"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("b"))
+    return rows.withColumn("n", first).where("n = 1").select("row.*")
+
+
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: tuple[int, int] = (80, 100), shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: the id column, n_shingles (set size) and component_id (least id reachable by links).
 
@@ -231,8 +242,9 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Other columns are dropped, whatever their names. An empty table gives no rows.
     """
     num, den = threshold
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    profiles = stash(source.mapInArrow(_profile(shingle, False), "id long, n long, cls binary, bands array<long>, bitmap binary"), "profiles")
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    profiles = stash(source.mapInArrow(_profile(shingle, False), f"id {kind}, n long, cls binary, bands array<long>, bitmap binary"), "profiles")
     classes = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("bitmap").alias("bitmap"))
     routes = classes.select("cls", "least", F.explode("bands").alias("route"))
     # routes with two classes or more, each class with the route's least one

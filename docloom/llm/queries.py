@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, table
-from . import chat, media, mixing, ngram_join, packing, quality, toxicity, warc
+from . import chat, embeddings, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,19 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, with_text=False).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_media, op6_packing, op8_mixing, op9_chat, op10_quality)}
-ORACLES = {"op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_media, op5_embeddings, op6_packing, op7_substrings, op8_mixing, op9_chat, op10_quality)}
+ORACLES = {"op5_embeddings": embeddings.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
