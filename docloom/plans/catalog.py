@@ -1,4 +1,6 @@
-"""Registry of the named queries and their SQL."""
+"""All named queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import grounding, layout, planning, retrieval, streams, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
