@@ -37,7 +37,7 @@ sql("retryable", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN
 sql("three_medians", """SELECT event_type, round(percentile(value, 0.5), 6) AS middle, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS lower, element_at(array_sort(collect_list(value)), CAST(floor(count(*) / 2) AS INT) + 1) AS upper FROM events GROUP BY event_type""",
     "SELECT event_type, round(median(value), 6) AS middle, quantile_disc(value, 0.5) AS lower, list_sort(list(value))[CAST(count(*) // 2 AS INT) + 1] AS upper FROM events GROUP BY event_type")
 sql("answer_metrics", """WITH a AS (SELECT d.doc_id % 5 AS grp, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
-SELECT grp, count(*) AS n, round(avg(quality), 6) AS answered, round(avg(1.0 - toxic), 6) AS cited, round(sum(quality * (1 - toxic)) / CAST(sum(quality) AS DOUBLE), 6) AS cited_when_answered FROM a GROUP BY grp""")
+SELECT grp, count(*) AS n, round(avg(quality), 6) AS answered, round(avg(CAST(1 - toxic AS DOUBLE)), 6) AS cited, round(sum(quality * (1 - toxic)) / CAST(sum(quality) AS DOUBLE), 6) AS cited_when_answered FROM a GROUP BY grp""")
 sql("catalog_join", "SELECT n_name, r_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")
 sql("revenue_by_flag", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_quantity < 24 GROUP BY l_returnflag, l_linestatus")
 sql("known_ids", "SELECT o_custkey FROM orders WHERE o_totalprice > 100000 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
