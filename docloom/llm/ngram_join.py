@@ -7,7 +7,8 @@ probability below 1e-12). In a route:
 1. each class is tried against the route's least class, by exact set intersection; what links is one component;
 2. routes that still hold several components build a signature tree: leaves are classes, inner nodes hold the OR of
    their token bitmaps and the range of their set sizes. A dual traversal drops node pairs whose maximum possible
-   overlap is too small, and leaf pairs of one component; what is left is verified by exact intersection.
+   overlap is too small, and leaf pairs of one component; what is left is verified by exact intersection. A few rounds
+   verify pairs that span a tree's components before the last one takes all that are still apart.
 
 No pair list of a group of copies is ever formed: within a component nothing more is compared.
 """
@@ -32,6 +33,10 @@ BITS = 2048
 #: Rows of a route that one tree holds; larger routes are split into blocks, and every two blocks meet in one task.
 BLOCK_ROWS = 4096
 FANOUT = 8
+#: Rounds in which a tree gives only pairs that span its components.
+SPANNING_ROUNDS = 2
+#: Node pairs that a traversal looks at together.
+NODE_PAIRS = 8192
 #: Bits of the filter of candidate documents, a bounded broadcast (2 MB).
 FILTER_BITS = 1 << 24
 
@@ -135,48 +140,78 @@ def _may_link(x, y, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndar
 def dual_traversal(x: SignatureTree, y: SignatureTree, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the leaf pairs that no node pair above them rules out."""
     same = x is y
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    a, b = len(x.levels) - 1, len(y.levels) - 1
-    while True:
+    held = [(len(x.levels) - 1, len(y.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    while held:
+        a, b, i, j = held.pop()
+        if len(i) > NODE_PAIRS:
+            held += [(a, b, i[NODE_PAIRS:], j[NODE_PAIRS:])]
+            i, j = i[:NODE_PAIRS], j[:NODE_PAIRS]
         keep = _may_link(x.levels[a], y.levels[b], i, j, num, den)
         i, j = i[keep], j[keep]
-        if not len(i) or (a == 0 and b == 0):
-            break
+        if not len(i):
+            continue
+        if a == 0 and b == 0:
+            found.append((i, j))
+            continue
         if a >= b:
             a -= 1
-            i = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            j = np.repeat(j, FANOUT)
+            i, j = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel(), np.repeat(j, FANOUT)
             ok = i < len(x.levels[a][0])
-            i, j = i[ok], j[ok]
         else:
             b -= 1
-            j = (j[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            i = np.repeat(i, FANOUT)
+            i, j = np.repeat(i, FANOUT), (j[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             ok = j < len(y.levels[b][0])
-            i, j = i[ok], j[ok]
         if same and a == b:
-            ok = i <= j
-            i, j = i[ok], j[ok]
+            ok &= i <= j
+        held.append((a, b, i[ok], j[ok]))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
     i, j = x.order[i], y.order[j]
     return (i[i != j], j[i != j]) if same else (i, j)
 
 
-def _tree_pairs(num: int, den: int):
-    """Sorted rows (route, one, two, block, cls, n, bitmap, label) -> candidate pairs of different components."""
+def _spanning(i: np.ndarray, j: np.ndarray, labels: np.ndarray, seed: int) -> list[int]:
+    """Of pairs in an order that the seed shuffles, those that join two components not joined before."""
+    root = {int(x): int(x) for x in np.unique(np.concatenate((labels[i], labels[j])))}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out: list[int] = []
+    for k in np.random.Generator(np.random.PCG64(seed)).permutation(len(i)).tolist():
+        a, b = find(int(labels[i[k]])), find(int(labels[j[k]]))
+        if a != b:
+            root[a] = b
+            out.append(k)
+            if len(out) == len(root) - 1:
+                break
+    return out
+
+
+def _tree_pairs(num: int, den: int, seed: int | None):
+    """Sorted rows (route, one, two, block, cls, n, bitmap, label) -> candidate pairs of different components.
+
+    With a seed a task gives only pairs that span its components, and says by `more` if it held any back.
+    """
 
     def pairs(rows: dict) -> Iterator[tuple]:
         sides = {}
         for side in {*rows["block"]}:
             own = np.flatnonzero(rows["block"] == side)
             sides[side] = own, SignatureTree(rows["n"][own], rows["bitmap"][own], rows["label"][own])
-        (a, x), (b, y) = sides[min(sides)], sides[max(sides)]
         if len(sides) == 1 and rows["one"] != rows["two"]:
             return
+        (a, x), (b, y) = sides[min(sides)], sides[max(sides)]
         i, j = dual_traversal(x, y, num, den)
         ids, labels = rows["cls"], rows["label"]
         i, j = a[i], b[j]
         ok = labels[i] != labels[j]
-        yield from ((min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in zip(i[ok], j[ok], strict=True))
+        i, j = i[ok], j[ok]
+        some = range(len(i)) if seed is None or len(i) < 2 else _spanning(i, j, labels, seed)
+        yield from ((min(ids[i[k]], ids[j[k]]), max(ids[i[k]], ids[j[k]]), len(some) < len(i)) for k in some)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -186,7 +221,9 @@ def _tree_pairs(num: int, den: int):
                 "one": key[1], "two": key[2], "block": np.array([r[0] for r in held]), "cls": [r[1] for r in held], "n": np.array([r[2] for r in held], np.int64),
                 "bitmap": np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1), "label": np.unique([r[4].hex() for r in held], return_inverse=True)[1],
             })] if len(held) > 1 else []
-            return pa.record_batch({"u": pa.array([p[0] for p in got], pa.binary()), "v": pa.array([p[1] for p in got], pa.binary())})
+            columns = [*zip(*got, strict=True)] or [()] * 3
+            task = [pa.array([k] * len(got), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.record_batch([*task, *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.bool_()), strict=True))], names=["route", "one", "two", "u", "v", "more"])
 
         for batch in batches:
             for route, one, two, *row in zip(*(batch.column(c).to_pylist() for c in ("route", "one", "two", "block", "cls", "n", "bitmap", "label")), strict=True):
@@ -263,17 +300,28 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     links = stash(_linked(stars, sets, num, den), "links")
     roots = stash(components(links), "roots")
 
-    labelled = shared.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("route", "cls", F.coalesce("root", "cls").alias("label"))
-    open_ = labelled.groupBy("route").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("route", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    held = labelled.join(open_, "route").join(profiles.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "cls")
+    def labels(table: DataFrame, roots: DataFrame) -> DataFrame:
+        return table.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
+
+    open_ = labels(shared, roots).groupBy("route").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("route", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
+    held = shared.select("route", "cls").join(stash(open_, "open"), "route").join(profiles.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "cls")
     dealt = held.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("route", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "n", "bitmap", "label")
-    tries = dealt.repartition("route", "one", "two").sortWithinPartitions("route", "one", "two").mapInArrow(_tree_pairs(num, den), "u binary, v binary").distinct()
-    more = stash(_linked(tries, sets, num, den), "links")
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(links.unionByName(more))
+    task = ["route", "one", "two"]
+    dealt = stash(dealt.select("route", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "n", "bitmap"), "dealt")
+    # a few rounds of spanning pairs join the groups of copies; the last round looks at all pairs still held back
+    for seed in [*range(SPANNING_ROUNDS), None]:
+        rows = labels(dealt, roots).select(*task, "block", "cls", "n", "bitmap", "label").repartition(*task).sortWithinPartitions(*task)
+        tries = stash(rows.mapInArrow(_tree_pairs(num, den, seed), "route long, one int, two int, u binary, v binary, more boolean"), "tries")
+        if tries.isEmpty():
+            break
+        before, links = links, stash(links.unionByName(_linked(tries.select("u", "v").distinct(), sets, num, den)), "links")
+        forget(before)
+        before, roots = roots, stash(components(links), "roots")
+        forget(before)
+        again = tries.where("more").select(*task).distinct()
+        before, dealt = dealt, stash(dealt.join(again, task, "left_semi"), "dealt")
+        forget(before)
+    final = roots
 
     of_class = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
