@@ -10,12 +10,14 @@ beside the end of each group's last sequence.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .wordhash import utf8
 SEQUENCE, END_ID, GRAIN = 4096, 2, 16
 DIMENSIONS, AXIS_BITS, CELL_BITS = 3, 10, 15
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 #: Groups that the curve is split into, within the least and most tokens of one.
 GROUPS, LEAST_GROUP, MOST_GROUP = 256, 1 << 18, 1 << 24
 
@@ -38,26 +40,66 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words that need no Unicode normalisation, of characters whose lower case and class are beyond doubt.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+# The pieces that the vocabulary's pre-tokenizer splits words into.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level letters: bytes that print stand for themselves, the others for code points from 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return dict(zip([b for b in range(256) if b not in prints], range(256, 512), strict=False))
+
+
 class WordIds:
-    """Token ids of texts by words; the tokenizer's pieces never span ASCII white space, so each word is encoded once."""
+    """Token ids of texts by words; the tokenizer's pieces never span ASCII white space, so each word is encoded once.
+
+    Plain words are split into pieces here and only new pieces go to the tokenizer's model; all others, and words that
+    hold the start of a special token, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.pieces = _tokenizer(path), {}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return got
+
+    def _learn(self, words: list[bytes]) -> None:
+        rest = []
+        for word in words:
+            text = word.decode()
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                text = text.lower()
+                self.known[word] = self._piece(text) if text.isalpha() else b"".join(map(self._piece, _PIECES.findall(text)))
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        fresh = set().union(*words).difference(self.known)
-        if len(fresh) + len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            fresh = set().union(*words)
-        new = [*fresh]
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        out = []
+        for text in texts:
+            words = text.split()
+            got = [*map(self.known.get, words)]
+            if None in got:
+                fresh = {w for w, g in zip(words, got, strict=True) if g is None}
+                if len(fresh) + len(self.known) > CACHED_WORDS:
+                    self.known.clear()
+                    self.pieces.clear()
+                    fresh = {*words}
+                self._learn([*fresh])
+                got = map(self.known.__getitem__, words)
+            out.append(b"".join(got))
+        return out
 
 
 @cache
