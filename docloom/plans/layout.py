@@ -23,9 +23,9 @@ sql("inline_fragments", f"""WITH {_BOX} SELECT DISTINCT a.page, a.box FROM boxes
   AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.5 * (a.x1 - a.x0) * (a.y1 - a.y0)""")
 sql("bbox_union", f"WITH {_BOX} SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page")
 sql("group_scale", "SELECT l_returnflag, l_linestatus, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_discount) AS scale FROM lineitem GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, quantile_disc(l_discount, 0.5) AS scale FROM lineitem GROUP BY l_returnflag, l_linestatus")
-sql("doc_report", "SELECT l_orderkey, count(*) AS zones, coalesce(round(sum(l_discount * l_quantity) / sum(l_quantity), 3), 1.0) AS mean_scale, min(l_discount) AS least_scale FROM lineitem GROUP BY l_orderkey")
-sql("line_pitch", "SELECT l_orderkey, l_linenumber, least(1.6, greatest(1.0, round(l_extendedprice / (l_quantity * 1000), 4))) AS pitch FROM lineitem")
+sql("doc_report", "SELECT l_orderkey, count(*) AS zones, coalesce(round(sum(l_discount * l_quantity) / sum(l_quantity) + 0.000000001, 3), 1.0) AS mean_scale, min(l_discount) AS least_scale FROM lineitem GROUP BY l_orderkey")
+sql("line_pitch", "SELECT l_orderkey, l_linenumber, least(1.6, greatest(1.0, round(l_extendedprice / (l_quantity * 1000) + 0.000000001, 4))) AS pitch FROM lineitem")
 sql("dominant_style", """WITH s AS (SELECT l_orderkey, l_returnflag AS style, sum(l_quantity) AS n, min(l_linenumber) AS first_seen FROM lineitem GROUP BY l_orderkey, l_returnflag)
-SELECT l_orderkey, style FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first_seen) AS r FROM s) x WHERE r = 1""")
-sql("style_runs", """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = l_returnflag THEN 0 ELSE 1 END AS starts FROM lineitem)
+SELECT l_orderkey, style FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first_seen, style) AS r FROM s) x WHERE r = 1""")
+sql("style_runs", """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) = l_returnflag THEN 0 ELSE 1 END AS starts FROM lineitem)
 SELECT l_orderkey, CAST(sum(starts) AS BIGINT) AS runs FROM r GROUP BY l_orderkey""")
