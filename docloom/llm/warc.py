@@ -113,7 +113,8 @@ class _Members:
             got = self.zip.decompress(self.raw, CHUNK_BYTES)
             self.raw = self.zip.unconsumed_tail
             if self.zip.eof:
-                self.raw, self.zip = self.zip.unused_data + self.raw, zlib.decompressobj(31)
+                # at its end a member that once left a tail gives what follows both as tail and as unused data
+                self.raw, self.zip = self.zip.unused_data, zlib.decompressobj(31)
             if got:
                 self.held += got
                 return True

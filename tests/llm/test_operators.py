@@ -108,6 +108,10 @@ def test_warc(spark):
     chunks = warc.read_chunks(warc.write_archives(pages)).where("page_id = 1").orderBy("chunk_no").collect()
     assert len(chunks) == 7 and b"".join(bytes(c["data"]) for c in chunks).decode() == "é" * 200_000
     assert warc.archived_pages(pages.limit(0)).count() == 0
+    # long members that others follow in one archive
+    many = spark.range(30).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 150_000).alias("html")).coalesce(1)
+    sizes = {r["page_id"]: (r["payload_bytes"], r["record_type"]) for r in warc.archived_pages(many).collect()}
+    assert sizes == {k: (150_000 * len(str(k)), "response") for k in range(30)}
 
 
 def test_media(spark, docs):
