@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,8 +27,8 @@ from .wordhash import utf8
 
 SEQUENCE, END_ID, GRAIN = 4096, 2, 16
 DIMENSIONS, AXIS_BITS, CELL_BITS = 3, 10, 15
-#: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 1_000_000
+#: Distinct words whose ids a worker keeps, and the greatest length of one; longer words are encoded each time.
+CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
 #: Groups that the curve is split into, within the least and most tokens of one.
 GROUPS, LEAST_GROUP, MOST_GROUP = 256, 1 << 18, 1 << 24
 
@@ -42,6 +43,9 @@ def _tokenizer(path: str):
 
 #: Words that need no Unicode normalisation, of characters whose lower case and class are beyond doubt.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_LAYOUT = [struct.Struct(f"<{n}I") for n in range(24)]
+#: Marks that are a piece of their own after a word.
+_STOPS = {b".", b",", b";", b":", b"!", b"?", b")"}
 # The pieces that the vocabulary's pre-tokenizer splits words into.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -56,33 +60,47 @@ class WordIds:
     """Token ids of texts by words; the tokenizer's pieces never span ASCII white space, so each word is encoded once.
 
     Plain words are split into pieces here and only new pieces go to the tokenizer's model; all others, and words that
-    hold the start of a special token, go through the whole tokenizer.
+    hold the start of a special token, go through the whole tokenizer. Known words are kept in two generations: when
+    the young one is full it becomes the old one, from which words in use are taken over again.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.pieces = _tokenizer(path), {}, {}
+        self.tokenizer, self.known, self.old, self.pieces = _tokenizer(path), {}, {}, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(letters)]
+            got = _LAYOUT[len(ids)].pack(*ids) if len(ids) < len(_LAYOUT) else np.array(ids, "<u4").tobytes()
+            if len(piece) <= CACHED_LENGTH:
+                if len(self.pieces) >= CACHED_WORDS // 2:
+                    self.pieces.clear()
+                self.pieces[piece] = got
         return got
 
-    def _learn(self, words: list[bytes]) -> None:
-        rest = []
-        for word in words:
-            text = word.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                text = text.lower()
-                self.known[word] = self._piece(text) if text.isalpha() else b"".join(map(self._piece, _PIECES.findall(text)))
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+    def _encode(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._piece(word.lower().decode())
+        if word[:-1].isalpha() and word[-1:] in _STOPS:
+            return self._piece(word[:-1].lower().decode()) + self._piece(word[-1:].decode())
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            got = self.old.get(word)
+            if got is None:
+                got = self._encode(word)
+            if len(word) <= CACHED_LENGTH:
+                if len(self.known) >= CACHED_WORDS // 2:
+                    self.known, self.old = {}, self.known
+                self.known[word] = got
+        return got
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -91,13 +109,9 @@ class WordIds:
             words = text.split()
             got = [*map(self.known.get, words)]
             if None in got:
-                fresh = {w for w, g in zip(words, got, strict=True) if g is None}
-                if len(fresh) + len(self.known) > CACHED_WORDS:
-                    self.known.clear()
-                    self.pieces.clear()
-                    fresh = {*words}
-                self._learn([*fresh])
-                got = map(self.known.__getitem__, words)
+                for at, one in enumerate(got):
+                    if one is None:
+                        got[at] = self._word(words[at])
             out.append(b"".join(got))
         return out
 
