@@ -177,6 +177,19 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_word_ids_match_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 6)
+    tokenizer, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
+    rng = np.random.default_rng(3)
+    some = ["The", "the.", "it's", "DON'T", "x)", "...", "12.5%", "a<|b|>", "Éa!", "ßtraße,", "«q»", "中文", "e\u0301", "a" * 65, "$$$", "don't.", "X'S", "\x01"]
+    texts = ["", " \t\n", *(" ".join(rng.choice(some, 40)) for _ in range(30))]
+    got = encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(len(encode.known), len(encode.old), len(encode.pieces)) <= 3
+
+
 def test_hilbert_steps_to_neighbours():
     axes = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     order = axes[np.argsort(packing.hilbert(axes, 3))]
