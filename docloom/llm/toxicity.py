@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Inputs of a step are a word (embedding of words known from training) and its characters (mean embedding of byte
-bigrams). Windows of WINDOW words start every STRIDE words and at the last full window; each gets a logit, and a
-document's score is the calibrated greatest logit of its windows. Training is multiple-instance: in a toxic document
-the window that scores highest is the example, in others the highest and some random ones are.
+bigrams). A window of WINDOW words starts at every word that has a full window; each gets a logit, and a document's
+score is the calibrated greatest logit of its windows. Training is multiple-instance: in a toxic document the window
+that scores highest is the example, in others the highest and some random ones are.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from .wordhash import utf8, word_spans
 #: Most labelled documents of each class that the fit sees.
 SAMPLE = 1500
 MODULUS, HELD, THRESHOLD = 3, 1, 0.7
-WINDOW, STRIDE = 24, 12
+WINDOW = 24
 WORDS, WORD_DIM, GRAMS, CHAR_DIM, HIDDEN = 8192, 8, 4096, 6, 8
 EPOCHS, PASSES, BATCH, RATE = 4, 2, 128, 0.01
+#: Windows whose states are kept at once, so that they stay in a core's cache.
+BLOCK = 2048
 _f = np.float32
 
 
@@ -57,24 +59,23 @@ class Words:
         self.docs = np.split(inverse.astype(np.int32), np.cumsum([len(s[0]) for s in spans])[:-1]) if spans else []
 
 
-def windows(n: int) -> np.ndarray:
-    """Starts of the windows of n words; the last one ends with the text."""
-    return np.arange(1) if n <= WINDOW else np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
+def sequence(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all texts, short ones filled up to WINDOW with -1; starts of all windows; each text's count of them.
+
+    A window starts at every word up to the last full window; texts without words have none.
+    """
+    docs = [np.append(d, np.full(WINDOW - len(d), -1, np.int32)) if 0 < len(d) < WINDOW else d for d in docs]
+    sizes = np.array([len(d) for d in docs], np.int64)
+    counts = np.maximum(sizes - WINDOW + 1, 0)
+    shift = np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts)
+    starts = np.arange(counts.sum()) + np.repeat(shift, counts)
+    return np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int32), starts, counts
 
 
 def window_matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of every window (-1: no word), and each document's count of windows; none without words."""
-    rows, counts = [], []
-    for doc in docs:
-        if not len(doc):
-            counts.append(0)
-            continue
-        if len(doc) < WINDOW:
-            doc = np.append(doc, np.full(WINDOW - len(doc), -1, np.int32))
-        starts = windows(len(doc))
-        rows.append(np.lib.stride_tricks.sliding_window_view(doc, WINDOW)[starts])
-        counts.append(len(starts))
-    return np.concatenate(rows) if rows else np.empty((0, WINDOW), np.int32), np.array(counts, np.int64)
+    seq, starts, counts = sequence(docs)
+    return seq[starts[:, None] + np.arange(WINDOW)], counts
 
 
 @dataclass
@@ -140,9 +141,62 @@ class Network:
         """The last row stands for no word."""
         return tuple(np.append(inputs @ self.p[f"X{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * HIDDEN), _f), axis=0) for d in "fb")
 
-    def all_logits(self, words: Words, index: np.ndarray) -> np.ndarray:
+    def reads(self, x: np.ndarray, d: str, way: int) -> tuple[np.ndarray, np.ndarray]:
+        """Attention and value (steps, windows) of one direction, for windows at each column of inputs x (3 * HIDDEN, words).
+
+        The state is kept as columns, so a step of all windows reads one slice of x. Gates are tanh of half their input.
+        """
+        n, k = x.shape[1] - WINDOW + 1, HIDDEN
+        u = np.concatenate([self.p[f"U{d}"].T * _f(0.5), self.p["v"][None, way * k : way * k + k], self.p["w"][None, way * k : way * k + k]])
+        h, both, more = np.zeros((k, n), _f), np.zeros((3 * k + 2, n), _f), np.empty((k, n), _f)
+        out = np.empty((2, WINDOW, n), _f)
+        steps = range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1)
+        zr, z, r, gn = both[: 2 * k], both[:k], both[k : 2 * k], both[2 * k : 3 * k]
+        last = None
+        for t in steps:
+            if last is not None:
+                np.matmul(u, h, out=both)
+                out[:, last] = both[3 * k :]
+            zr += x[: 2 * k, t : t + n]
+            np.tanh(zr, out=zr)
+            np.multiply(r, gn, out=more)
+            more += gn
+            more += x[2 * k :, t : t + n]
+            np.tanh(more, out=more)
+            h -= more
+            z += _f(1)
+            z *= _f(0.5)
+            h *= z
+            h += more
+            last = t
+        out[:, last] = u[3 * k :] @ h
+        return out[0], out[1]
+
+    def all_logits(self, words: Words) -> np.ndarray:
+        """Of every window of every text, in order."""
         x = self.projected(self.inputs(words))
-        return np.concatenate([self.logits(x, index[k : k + 4096]) for k in range(0, len(index), 4096)] or [np.empty(0, _f)])
+        seq, starts, _ = sequence(words.docs)
+        out = np.empty(len(starts), _f)
+        full = seq[starts + WINDOW - 1] >= 0
+        some = starts[~full]
+        out[~full] = np.concatenate([self.logits(x, seq[some[k : k + 4096, None] + np.arange(WINDOW)]) for k in range(0, len(some), 4096)] or [np.empty(0, _f)])
+        if not full.any():
+            return out
+        at = np.full(len(seq), -1, np.int64)
+        at[starts[full]] = np.flatnonzero(full)
+        scale = np.repeat(np.array([0.5, 1], _f), [2 * HIDDEN, HIDDEN])[:, None]
+        halves = [np.ascontiguousarray(p.T) * scale for p in x]
+        for k in range(0, len(seq) - WINDOW + 1, BLOCK):
+            to = at[k : k + BLOCK][: len(seq) - WINDOW + 1 - k]
+            here = seq[k : k + len(to) + WINDOW - 1]
+            (a, c), (b, e) = (self.reads(half.take(here, axis=1), d, way) for way, (half, d) in enumerate(zip(halves, "fb", strict=True)))
+            a += b
+            c += e
+            a -= a.max(axis=0)
+            np.exp(a, out=a)
+            logit = (a * c).sum(axis=0) / a.sum(axis=0) + self.p["b"]
+            out[to[to >= 0]] = logit[to >= 0]
+        return out
 
     def gradients(self, words: Words, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean weighted logistic loss, by backpropagation through time."""
@@ -214,15 +268,15 @@ def fit(texts: list[bytes], y: np.ndarray, odds: float | None = None) -> Network
     often = np.sort(often[np.argsort(-np.abs(lift[often]), kind="stable")[:WORDS]])
     net = Network.start(words.hashes[often], np.clip(lift[often], -4, 4).astype(_f))
 
-    index, counts = window_matrix(words.docs)
+    seq, starts, counts = sequence(words.docs)
     bounds = np.cumsum(counts) - counts
     rng = np.random.Generator(np.random.PCG64(4))
-    rank = np.append(lift, -9)[index].max(axis=1)
+    rank = np.lib.stride_tricks.sliding_window_view(np.append(lift, -9)[seq], WINDOW).max(axis=1)[starts]
     moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
         if epoch:
-            rank = net.all_logits(words, index)
+            rank = net.all_logits(words)
         top = np.array([b + rank[b : b + c].argmax() for b, c in zip(bounds, counts, strict=True)])
         some = rng.integers(0, counts[y == 0], (2, int((y == 0).sum()))) + bounds[y == 0]
         rows, goal = np.concatenate([top, some.ravel()]), np.concatenate([y, np.zeros(some.size, _f)])
@@ -232,13 +286,13 @@ def fit(texts: list[bytes], y: np.ndarray, odds: float | None = None) -> Network
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
                 step += 1
-                for n, grad in net.gradients(*_subset(words, index[rows[part]]), goal[part], weight[part]).items():
+                for n, grad in net.gradients(*_subset(words, seq[starts[rows[part], None] + np.arange(WINDOW)]), goal[part], weight[part]).items():
                     m, v = moments[n]
                     m += (grad - m) * _f(0.1)
                     v += (grad * grad - v) * _f(0.001)
                     net.p[n] -= _f(RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)) * m / (np.sqrt(v) + _f(1e-6))
     # logistic regression on the greatest logit and the log of the number of windows
-    rank = net.all_logits(words, index)
+    rank = net.all_logits(words)
     x = np.column_stack([np.maximum.reduceat(rank, bounds), np.log(counts), np.ones(len(y))]).astype(float)
     w = np.array([1.0, 0.0, 0.0])
     for _ in range(50):
@@ -253,8 +307,8 @@ def fit(texts: list[bytes], y: np.ndarray, odds: float | None = None) -> Network
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
     """0 to 1 of each text; one without words has the bias alone."""
     words = Words(texts)
-    index, counts = window_matrix(words.docs)
-    logit = net.all_logits(words, index)
+    counts = sequence(words.docs)[2]
+    logit = net.all_logits(words)
     top = np.full(len(texts), net.p["b"][0], float)
     full = counts > 0
     if full.any():

@@ -274,6 +274,27 @@ def test_network_gradients():
         assert abs((up - down) / 2e-2 - got[name][at]) < 2e-2 * max(abs(got[name][at]), 1e-2)
 
 
+def test_toxicity_scores_every_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"bad{k}" for k in range(20))
+    fill = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30, n))
+    texts = [f"{fill(k)} {passage} {fill(60 - k)}".encode() for k in range(30)] + [b"", b"one", fill(23).encode(), fill(24).encode(), fill(25).encode(), fill(200).encode()]
+    vocabulary = np.sort(toxicity.Words(texts).hashes)
+    net = toxicity.Network.start(vocabulary, rng.standard_normal(len(vocabulary)).astype(np.float32) * 3)
+    net.p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.3) for k, v in net.p.items()}
+    got = toxicity.scores(net, texts)
+    for text, score in zip(texts, got, strict=True):
+        w = text.split()
+        parts = [b" ".join(w[k : k + 24]) for k in range(max(1, len(w) - 23))]
+        assert abs(score - max(toxicity.scores(net, parts))) < 1e-5
+        words = toxicity.Words([text])
+        index, counts = toxicity.window_matrix(words.docs)
+        assert len(index) == counts[0] == (len(parts) if w else 0)
+        assert np.allclose(net.all_logits(words), net.logits(net.projected(net.inputs(words)), index), atol=1e-5)
+    assert np.ptp(got[:30]) > 1e-4
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     docs, columns = documents, documents.columns
