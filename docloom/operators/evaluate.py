@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SCALE_BITS = 500
+SCALE = 0.5**SCALE_BITS
+
 
 def first_hits(ranking: DataFrame, truth: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, rank): the first relevant rank, null for a miss."""
@@ -22,11 +25,21 @@ def summary(ranks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def binomial_p(wins: Column, losses: Column) -> Column:
-    """Exact two-sided sign test; 1 without any pair. Terms are built by a product, so large counts do not overflow."""
+    """Exact two-sided sign test; 1 without any pair.
+
+    Binomial coefficients are built by a product from 1; they and their sum are brought down by SCALE, a power of two,
+    whenever they pass 1 / SCALE, so counts of any size neither overflow nor vanish.
+    """
     n, low = wins + losses, F.least(wins, losses)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("tail"))
-    step = lambda s, i: F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["tail"] + s["term"]).alias("tail"))
-    tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), start, step)["tail"]
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("tail"), F.lit(0).cast("long").alias("scaled"))
+
+    def step(s: Column, i: Column) -> Column:
+        term, tail = s["term"] * (n - i) / (i + 1), s["tail"] + s["term"]
+        down = F.greatest(term, tail) > 1 / SCALE
+        factor = F.when(down, SCALE).otherwise(1.0)
+        return F.struct((term * factor).alias("term"), (tail * factor).alias("tail"), (s["scaled"] + down.cast("long")).alias("scaled"))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), low.cast("long")), start, step, lambda s: s["tail"] * F.pow(F.lit(2.0), SCALE_BITS * s["scaled"] - n))
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
