@@ -33,7 +33,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
-    rows = rows.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"])
+    # the first row in the window's order: of sources that tie, only the first has a level with all of them uncapped
+    first = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("place", "level"))).over(whole)["level"]
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("level", level).withColumn("level", first)
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0))).alias("target"))
 
 

@@ -210,6 +210,17 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.where("doc_id < 2")).count() == 2
 
 
+def test_mixing_with_tied_sources(spark):
+    ten = " ".join(["w"] * 10)
+    # six equal sources; ties below the level; all words in sources that tie at their cap
+    for sizes, want in (([10] * 6, [5, 10, 15] * 2), ([1, 2, 3, 100, 200, 300], [3, 6, 9, 98, 196, 294]), ([10, 20, 30], [10, 20, 30]), ([0, 0, 0, 10], [0, 0, 0, 10])):
+        got = mixing.source_targets(spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(sizes)], "source string, source_size long"))
+        assert np.allclose([r["target"] for r in got.orderBy("source").collect()], want), sizes
+    df = spark.createDataFrame([(k, ten, f"s{k}") for k in range(6)], "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    assert sum(r["target"] for r in rows) == pytest.approx(60) and sum(r["taken"] for r in rows) == 60
+
+
 def test_chat(spark):
     rows = [(1, 0, "a", "hi"), (1, 1, "b", None), (1, 1, None, "x"), (1, None, "a", "end"), (1, 1, "b", None), (None, 3, "c", "lone")] + [(2, k, f"p{k % 3}", f"t{k}") for k in range(200)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1)).withColumn("seg", F.lit(2))
