@@ -14,10 +14,28 @@ leurs mais ne ou par pas plus pour qu que qui sa se ses son sont sur un une vers
 d l s n c j m y ont ete etre fait aussi comme entre dont
 """.split()
 
+# What counts as a search term, a number, a citation, a style tag, an HTML tag, a code, a dot leader, an
+# ellipsis, a bullet and a mathematical font; words in names of bold and slanted fonts.
 TOKEN = r"[a-z0-9]+(?:[.,\-/][a-z0-9]+)*"
-NUMBER = r"(?U)(?<![^\W\d])(?<![\d.])\d+(?:[.,]\d+)*"
+STANDING_NUMBER = r"(?<![^\W\d])(?<![\d.])\d+(?:[.,]\d+)*"
+GLUED_DIGITS = r"(?<=[^\W\d])\d+(?:[.,]\d+)*"
+THOUSANDS_SPACE = "(?<=\\d)[ \u00a0\u202f](?=\\d{3}\\b)"
+DECIMAL_COMMA = r"(?<=\d),(?=\d)"
+DOUBLED = r"([a-z])\1"
+CITATION = r"\[(\d{1,2})\]"
+ELLIPSIS = r"\s*(?:\[\.\.\.\]|\[…\]|\.\.\.|…)\s*"
 TAG = r"</?s\d+>"
-HTML_TAG = r"(?i)</?(?:sub|sup|b|i|em|strong)>|<br\s*/?>"
+HTML_TAG = r"</?(?:sub|sup|b|i|em|strong)>|<br\s*/?>"
+CODE = r"[A-Z][A-Z0-9]{1,5}(?:[-.][A-Z0-9.]{1,5})?"
+DOT_LEADER = r"(\.\s?){6,}"
+TEMPERATURE_UNIT = r"[°º]\s?[CFK]\b"
+FIGURES_ONLY = r"[\d\s.,;:%°+\-–—−()\[\]/×*≈<>~$€£]+"
+BULLETS = "•◦▪▫■□●○►▶▸‣⁃→✓✔➢➤"
+MATH_FONT = r"^(cmmi|cmsy|cmex|cmbsy|msam|msbm|eufm|rsfs|mw[ab]_|stix.*math)|math"
+BOLD_NAME = r"bold|black|heavy|demi|ultra|medi(?!um)"
+ITALIC_NAME = r"(?i:italic|oblique)|(?<=[a-z])(?:I|It)(?:MT)?$"
+
+NUMBER = "(?U)" + STANDING_NUMBER
 
 
 def fold(text: Column) -> Column:
@@ -62,15 +80,15 @@ def sentences(text: Column) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, TAG, ""), HTML_TAG, "")
+    return F.regexp_replace(F.regexp_replace(text, TAG, ""), "(?i)" + HTML_TAG, "")
 
 
 def is_code(text: Column) -> Column:
-    return text.rlike(r"^[A-Z][A-Z0-9]{1,5}(?:[-.][A-Z0-9.]{1,5})?$")
+    return text.rlike(f"^(?:{CODE})$")
 
 
 def undouble(word: Column) -> Column:
-    return F.regexp_replace(word, r"([a-z])\1", "$1")
+    return F.regexp_replace(word, DOUBLED, "$1")
 
 
 def same_word(quoted: Column, found: Column) -> Column:
@@ -81,7 +99,7 @@ def same_word(quoted: Column, found: Column) -> Column:
 
 
 def dot_leader(text: Column) -> Column:
-    return text.rlike(r"(\.\s?){6,}")
+    return text.rlike(DOT_LEADER)
 
 
 def join_lines(lines: Column) -> Column:
@@ -110,6 +128,25 @@ def pseudo_translate(text: Column, expansion: float = 0.2) -> Column:
     return F.when((plain == "") | (extra < 1) | F.lit(expansion == 0), upper).otherwise(F.concat(F.rtrim(upper), F.lit(" "), padding))
 
 
+def is_numeric(text: Column) -> Column:
+    """Only figures, punctuation and units; a temperature unit counts as white space, an empty text as words."""
+    return text.isNotNull() & F.regexp_replace(text, "(?U)" + TEMPERATURE_UNIT, " ").rlike(f"(?U)^(?:{FIGURES_ONLY})$")
+
+
+def without_symbols(text: Column) -> Column:
+    """Text without bullets, control characters (but tab and newline) and private-use glyphs."""
+    return F.regexp_replace(text, f"[{BULLETS}\\x00-\\x08\\x0B-\\x1F\\uE000-\\uF8FF]", "")
+
+
+def without_markers(text: Column) -> Column:
+    """Text as a reader sees it, without [n] and without space before punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*" + CITATION, ""), r"\s+([.,;:])", "$1"))
+
+
+def compact(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", "")
+
+
 def keep_markers(text: Column, valid: Column) -> Column:
     """Drops [n] markers whose n is not in valid, bold marks, and space before punctuation."""
     marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d{1,2})\]"), F.lit(1)))

@@ -56,7 +56,7 @@ def page_units(t: Tables):
 
 @query()
 def overlap_chunks(t: Tables):
-    return chunk.passages(t.documents)
+    return chunk.passages(_lines(t))
 
 
 @query(f"""WITH {_LINES}, {_BODY}, h AS (SELECT doc_id, pos, CASE WHEN {_HEAD} THEN trim(text) END AS own FROM sized JOIN body USING (doc_id))

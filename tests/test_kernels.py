@@ -3,7 +3,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.functions.kernels import loose_figures, markup_html, pack_units, plain_numbers, quote_holds, split_long
+from docloom.functions.kernels import batch_ranges, loose_figures, pack_ranges, plain_numbers, quote_holds, split_long
+from docloom.functions.markup import markup_html
 from docloom.operators.evaluate import binomial_p
 from docloom.operators.retrieval import bm25
 
@@ -21,17 +22,22 @@ def test_quotes():
 
 def test_figures():
     assert loose_figures("It was 12% [1] and 13,5 in 2020", PASSAGE) == ["13.5", "2020"]
-    assert plain_numbers("1 234 567,5") == "1234567.5"
+    assert plain_numbers("1 234 567,5") == plain_numbers("1\u00a0234\u202f567,5") == "1234567.5"
+    assert loose_figures("2\u00a0390", "2390") == loose_figures("2390", "about 2\u202f390 tonnes") == []
+    assert loose_figures("1.2 and 3", "1.20 and 3.") == ["1.2"]
     assert loose_figures("20", "2018") == ["20"]
 
 
 def test_markup():
-    assert markup_html("a<s1>b & c</s1></s2>d<s1>e", {"s1": ("<b>", "</b>")}) == "a<b>b &amp; c</b>d<b>e</b>"
+    style = {"s1": {"color": 255, "bold": True, "italic": False, "position": None, "font": "F"}}
+    assert markup_html("a<s1>b & c</s1></s2>d<br/><sup>e", style) == 'a<span style="color: #0000ff; font-weight: bold; font-style: normal">b &amp; c</span>d <span style="vertical-align: super; font-size: 70%">e</span>'
 
 
 def test_packing_units():
-    got = pack_units([("Head", True, False), ("x" * 60, False, False), ("y" * 60, False, False), ("Next", True, False), ("z", False, False)], 100, 30)
-    assert got == [("Head " + "x" * 60, "Head"), ("y" * 60, "Head"), ("Next z", "Next")]
+    units = [("Head", True, False), ("x" * 60, False, False), ("y" * 60, False, False), ("Next", True, False), ("z", False, False), ("note", False, True)]
+    assert pack_ranges(units, 100, 30) == [(0, 2, "Head"), (2, 3, "Head"), (3, 5, "Next"), (5, 6, "Next")]
+    assert pack_ranges([("a" * 50, False, False), ("b" * 20, False, False), ("c" * 60, False, False)], 100, 30) == [(0, 2, None), (1, 3, None)]
+    assert pack_ranges([], 10, 1) == [] and batch_ranges([4, 4, 9, 1, 1, 1], 8, 2) == [(0, 2), (2, 3), (3, 5), (5, 6)] and batch_ranges([], 1, 1) == []
 
 
 @settings(max_examples=50, deadline=None)
@@ -42,12 +48,12 @@ def test_split_long_keeps_words(text, most):
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("Les émissions ssp1-2.6 du CO2, 1,5", ["éco-", "systèmes", "1850-", "1900"])], "t string, l array<string>")
-    got = row.select(X.tokens(F.col("t")).alias("a"), X.join_lines(F.col("l")).alias("b"), X.numbers(F.lit("CO2 12 emissions23 4,5")).alias("c"), X.pseudo_translate(F.lit("Le climat en 2024")).alias("d")).first()
+    row = spark.createDataFrame([("Les émissions ssp1-2.6 du CO2, 1,5", ["para-", "sols", "1850-", "1900", "Nord-", "Sud"])], "t string, l array<string>")
+    got = row.select(X.tokens(F.col("t")).alias("a"), X.join_lines(F.col("l")).alias("b"), X.numbers(F.lit("CO2 12 emissions23 4,5")).alias("c"), X.pseudo_translate(F.lit("Les ponts du nord")).alias("d")).first()
     assert got["a"] == ["emission", "ssp1-2.6", "co2", "1,5"]
-    assert got["b"] == "écosystèmes 1850-1900"
+    assert got["b"] == "parasols 1850-1900 Nord-Sud"
     assert got["c"] == ["12", "4,5"]
-    assert got["d"] == "LE CLIMAT EN 2024 le"
+    assert got["d"] == "LES PONTS DU NORD les"
 
 
 def test_sign_test(spark):
