@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import forget, stash
-from .wordhash import gram_hashes, mix, run_hash, utf8, word_hashes
+from .scratch import bounded, forget, lean, stash
+from .wordhash import gram_hashes, mix, run_hash, slices, utf8, word_hashes
 
 SHINGLE = 5
 ROWS, BANDS = 3, 39
 #: Bits of a class's token bitmap.
 BITS = 2048
 #: Rows of a route that one tree holds; larger routes are split into blocks, and every two blocks meet in one task.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 FANOUT = 8
 #: Rounds in which a tree gives only pairs that span its components.
 SPANNING_ROUNDS = 2
@@ -81,9 +81,8 @@ def _profile(n: int, with_sets: bool, wanted: np.ndarray | None = None):
             if wanted is not None:
                 hit = wanted[np.asarray(batch.column("slot")) >> 3] >> (np.asarray(batch.column("slot")) & 7) & 1
                 batch = batch.filter(pa.array(hit.astype(bool)))
-            ids, texts = batch.column("id"), utf8(batch.column("text"))
-            for at in range(0, len(texts), 512):
-                sets = [shingle_set(w, n) for w in word_hashes([t.lower() for t in texts[at : at + 512]])]
+            for part in slices(batch):
+                sets = [shingle_set(w, n) for w in word_hashes([t.lower() for t in utf8(part.column("text"))])]
                 keys = pa.array([_class_key(s) if len(s) else None for s in sets], pa.binary())
                 size = pa.array([len(s) for s in sets], pa.int64())
                 if with_sets:
@@ -91,7 +90,7 @@ def _profile(n: int, with_sets: bool, wanted: np.ndarray | None = None):
                 else:
                     bands = pa.array([_bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
                     maps = pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary())
-                    yield pa.record_batch({"id": ids[at : at + 512], "n": size, "cls": keys, "bands": bands, "bitmap": maps})
+                    yield pa.record_batch({"id": part.column("id"), "n": size, "cls": keys, "bands": bands, "bitmap": maps})
 
     return scan
 
@@ -256,7 +255,7 @@ def _verify(num: int, den: int):
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of classes whose sets link, by exact intersection."""
     a, b = (sets.select(F.col("cls").alias(k), F.col("members").alias(m)) for k, m in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(num, den), "u binary, v binary")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(lean(_verify(num, den)), "u binary, v binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -279,9 +278,10 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Other columns are dropped, whatever their names. An empty table gives no rows.
     """
     num, den = threshold
+    bounded(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    profiles = stash(source.mapInArrow(_profile(shingle, False), f"id {kind}, n long, cls binary, bands array<long>, bitmap binary"), "profiles")
+    profiles = stash(source.mapInArrow(lean(_profile(shingle, False)), f"id {kind}, n long, cls binary, bands array<long>, bitmap binary"), "profiles")
     classes = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("bitmap").alias("bitmap"))
     routes = classes.select("cls", "least", F.explode("bands").alias("route"))
     # routes with two classes or more, each class with the route's least one
@@ -292,7 +292,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     slots = shared.select(F.col("least").alias("id")).select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).toArrow()
     wanted.view("<u4")[np.asarray(slots.column("w"))] = np.asarray(slots.column("b")).astype("<u4")
     scan = _profile(shingle, True, wanted)
-    found = source.withColumn("slot", slot).select("id", "text", "slot").mapInArrow(scan, "cls binary, n long, members binary").where("n > 0")
+    found = source.withColumn("slot", slot).select("id", "text", "slot").mapInArrow(lean(scan), "cls binary, n long, members binary").where("n > 0")
     known = shared.select("cls").distinct()
     sets = stash(found.join(known, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("members").alias("members")), "sets")
 
@@ -311,7 +311,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     # a few rounds of spanning pairs join the groups of copies; the last round looks at all pairs still held back
     for seed in [*range(SPANNING_ROUNDS), None]:
         rows = labels(dealt, roots).select(*task, "block", "cls", "n", "bitmap", "label").repartition(*task).sortWithinPartitions(*task)
-        tries = stash(rows.mapInArrow(_tree_pairs(num, den, seed), "route long, one int, two int, u binary, v binary, more boolean"), "tries")
+        tries = stash(rows.mapInArrow(lean(_tree_pairs(num, den, seed)), "route long, one int, two int, u binary, v binary, more boolean"), "tries")
         if tries.isEmpty():
             break
         before, links = links, stash(links.unionByName(_linked(tries.select("u", "v").distinct(), sets, num, den)), "links")

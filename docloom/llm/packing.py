@@ -1,10 +1,10 @@
 """Packing documents into fixed-length sequences along a Hilbert curve.
 
 Every document's token vector is hashed and projected to a few dimensions; its Hilbert key orders it on the curve. The
-curve is split into groups of about equal token counts, and each group is packed in curve order by one task: documents
-follow each other, and one is cut where a sequence is full. Cuts fall on multiples of GRAIN tokens, where the scan has
+documents are range-sorted by that key, and each range is packed in curve order by one task: documents follow each
+other, and one is cut where a sequence is full. Cuts fall on multiples of GRAIN tokens, where the scan has
 kept the document's running CRC, so token ids are never shuffled; at most GRAIN - 1 tokens of a sequence are padding,
-beside the end of each group's last sequence.
+beside the end of each range's last sequence.
 """
 
 from __future__ import annotations
@@ -19,18 +19,20 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stash
-from .wordhash import utf8
+from .scratch import lean, stash
+from .wordhash import slices, utf8
 
 SEQUENCE, END_ID, GRAIN = 4096, 2, 16
-DIMENSIONS, AXIS_BITS, CELL_BITS = 3, 10, 15
-#: Distinct words whose ids a worker keeps, and the greatest length of one; longer words are encoded each time.
-CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
-#: Groups that the curve is split into, within the least and most tokens of one.
-GROUPS, LEAST_GROUP, MOST_GROUP = 256, 1 << 18, 1 << 24
+DIMENSIONS, AXIS_BITS = 3, 10
+#: Distinct words whose ids a worker keeps (about 100 MB), and the greatest length of one; longer words are encoded each
+#: time.
+CACHED_WORDS, CACHED_LENGTH = 480_000, 40
+#: Tokens of a range of the curve, about, and the most ranges; with more tokens than that allows, ranges are longer.
+RANGE_TOKENS, MOST_RANGES = 1 << 20, 20_000
 
 
 @cache
@@ -171,9 +173,8 @@ def _scan(path: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for at in range(0, len(texts), 256):
-                ids = encode(texts[at : at + 256])
+            for part in slices(batch, rows=256):
+                ids = encode(utf8(part.column("text")))
                 keys, crcs = _curve_keys(ids), []
                 for doc in ids:
                     doc = memoryview(doc + end)
@@ -182,7 +183,7 @@ def _scan(path: str):
                         crc = zlib.crc32(doc[k : k + 4 * GRAIN], crc)
                         row.append(crc)
                     crcs.append(np.array(row, "<u4").tobytes())
-                yield pa.record_batch({"id": batch.column("id")[at : at + 256], "key": pa.array(keys), "tokens": pa.array([len(d) // 4 + 1 for d in ids], pa.int64()), "crcs": pa.array(crcs, pa.binary())})
+                yield pa.record_batch({"id": part.column("id"), "key": pa.array(keys), "tokens": pa.array([len(d) // 4 + 1 for d in ids], pa.int64()), "crcs": pa.array(crcs, pa.binary())})
 
     return scan
 
@@ -232,23 +233,22 @@ def pack_group(rows: Iterator[tuple[object, int, bytes]]) -> Iterator[tuple]:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), [pa.int64()] * 7
-    now, held = None, []
+    held, place = [], TaskContext.get().partitionId()
 
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("grp", "id", "tokens", "crcs")), strict=True)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield from zip(*(part.column(c).to_pylist() for c in ("id", "tokens", "crcs")), strict=True)
 
     def batch():
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    from itertools import groupby
-
-    for now, group in groupby(rows(), key=lambda r: r[0]):
-        for name, start, take, crc, tokens, sequence, offset in pack_group(r[1:] for r in group):
-            held.append((name, start, take, crc, tokens, (now << 24) + sequence, offset))
-            if len(held) >= 20_000:
-                yield batch()
-                held = []
+    for name, start, take, crc, tokens, sequence, offset in pack_group(rows()):
+        held.append((name, start, take, crc, tokens, (place << 40) + sequence, offset))
+        if len(held) >= 20_000:
+            yield batch()
+            held = []
     if held:
         yield batch()
 
@@ -267,15 +267,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id
     no pieces. A very long text is cut over as many sequences as it needs.
     """
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    scanned = stash(source.mapInArrow(_scan(tokenizer or default_tokenizer()), "id long, key long, tokens long, crcs binary"), "tokens")
-    scanned = scanned.withColumn("cell", F.shiftright("key", DIMENSIONS * AXIS_BITS - CELL_BITS))
-    cells = scanned.groupBy("cell").agg(F.sum("tokens").alias("n"))  # at most 2**CELL_BITS rows
-    along = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    size = F.least(F.greatest(F.sum("n").over(whole) / GROUPS, F.lit(LEAST_GROUP)), F.lit(MOST_GROUP))
-    cells = cells.withColumn("size", size).withColumn("ahead", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    cells = cells.select("cell", F.floor(F.col("ahead") / F.col("size")).cast("long").alias("first"), F.greatest(F.floor(F.col("n") / F.col("size")), F.lit(1)).cast("long").alias("parts"))
-    dealt = scanned.join(F.broadcast(cells), "cell").withColumn("grp", F.col("first") + F.pmod(F.xxhash64("id"), "parts"))
-    pieces = dealt.select("grp", "key", "id", "tokens", "crcs").repartition("grp").sortWithinPartitions("grp", "key", "id")
-    out = pieces.select("grp", "id", "tokens", "crcs").mapInArrow(_fold, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    scanned = stash(source.mapInArrow(lean(_scan(tokenizer or default_tokenizer())), "id long, key long, tokens long, crcs binary"), "tokens")
+    total = scanned.agg(F.sum("tokens")).first()[0] or 0
+    ranges = min(max(total // RANGE_TOKENS, 1), MOST_RANGES)
+    # rows that share a key, of copies or of one id, are spread by the hash of what they hold
+    order = ["key", "id", F.xxhash64("crcs")]
+    ranged = scanned.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
+    out = ranged.select("id", "tokens", "crcs").mapInArrow(lean(_fold), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_column)

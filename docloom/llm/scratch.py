@@ -3,13 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with small Arrow batches unless it asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same batch function; at its end the worker, which Spark keeps for later stages, gives free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,17 +57,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written and read again: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(bounded(df.sparkSession), name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docloom_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a stash that no later plan reads."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
+def forget(*stashed: DataFrame) -> None:
+    """Deletes the files of stashes that no later plan reads."""
+    for df in stashed:
+        path = df._docloom_path
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

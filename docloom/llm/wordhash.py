@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -108,6 +108,19 @@ def utf8(column) -> list[bytes]:
     return [t or b"" for t in column.cast("binary").to_pylist()]
 
 
+def slices(batch, column: str = "text", rows: int = 512, size: int = 2 << 20) -> Iterator:
+    """A batch in parts of at most so many rows and about so many bytes of a text column; one long text is a part alone."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends) of one text's words."""
     parts, at = [], 0
