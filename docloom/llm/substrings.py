@@ -21,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .scratch import stash
-from .wordhash import _power_tables, gram_hashes, mix, utf8, word_hashes
+from .scratch import forget, lean, stash
+from .wordhash import _power_tables, gram_hashes, mix, slices, utf8, word_hashes
 
 WINDOW, GRAM = 35, 6
 HOT = 512
 #: Words of reference text that one automaton holds, about.
 SHARD_WORDS = 20_000
+#: Columns of a document's key.
+DOCUMENT = ("key", "more")
 _U = np.uint64
 
 
@@ -149,12 +152,11 @@ def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
 def _anchor_rows(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = np.asarray(batch.column("key")), utf8(batch.column("text"))
-            for at in range(0, len(texts), 1024):
-                found = [contexts(w, window) for w in word_hashes(texts[at : at + 1024])]
+            for part in slices(batch, rows=1024):
+                found = [contexts(w, window) for w in word_hashes(utf8(part.column("text")))]
                 anchor, ctx, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
-                key = np.repeat(keys[at : at + 1024], [len(f[0]) for f in found])
-                yield pa.record_batch({"anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64), "key": key, "start": start.astype(np.int32), "size": size.astype(np.int32)})
+                key, more = (np.repeat(np.asarray(part.column(c)), [len(f[0]) for f in found]) for c in ("key", "more"))
+                yield pa.record_batch({"anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64), "key": key, "more": more, "start": start.astype(np.int32), "size": size.astype(np.int32)})
 
     return scan
 
@@ -164,23 +166,21 @@ def _context_words(window: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = utf8(batch.column("text")), batch.column("wanted")
-            keys = batch.column("key").to_pylist()
-            for at in range(0, len(texts), 256):
+            for part in slices(batch, rows=256):
                 out = []
-                for key, words, rows in zip(keys[at : at + 256], word_hashes(texts[at : at + 256]), wanted[at : at + 256].to_pylist(), strict=True):
-                    out += [(r["anchor"], key, r["start"], r["size"], r["copies"], r["hot"], words[r["start"] : r["start"] + r["size"] + window - 1].tobytes()) for r in rows]
-                columns = [*zip(*out, strict=True)] or [()] * 7
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "key", "start", "size", "copies", "hot", "words"])
+                for key, more, words, rows in zip(part.column("key").to_pylist(), part.column("more").to_pylist(), word_hashes(utf8(part.column("text"))), part.column("wanted").to_pylist(), strict=True):
+                    out += [(r["anchor"], key, more, r["start"], r["size"], r["copies"], r["hot"], words[r["start"] : r["start"] + r["size"] + window - 1].tobytes()) for r in rows]
+                columns = [*zip(*out, strict=True)] or [()] * 8
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", *DOCUMENT, "start", "size", "copies", "hot", "words"])
 
     return cut
 
 
 def _match(window: int):
-    """Contexts in order of their anchors -> repeated ranges (key, start, size) of those that occur once."""
+    """Contexts in order of their anchors -> repeated ranges (key, more, start, size) of those that occur once."""
 
-    def shard(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    def shard(held: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
         words = [np.frombuffer(h[4], np.uint64) for h in held]
         numbers = np.split(np.unique(np.concatenate(words), return_inverse=True)[1], np.cumsum([len(w) for w in words])[:-1])
         numbers = [n.tolist() for n in numbers]
@@ -190,21 +190,22 @@ def _match(window: int):
         automaton.settle()
         for text, h in zip(numbers, held, strict=True):
             if h[3] == 1:
-                yield from ((h[0], h[1] + first, size) for first, size in _runs([*automaton.repeated(text, window)]))
+                yield from ((*h[0], h[1] + first, size) for first, size in _runs([*automaton.repeated(text, window)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "size", "copies", "words")), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in ("anchor", *DOCUMENT, "start", "size", "copies", "words")), strict=True)
 
         def out(held):
-            found = [*zip(*shard(held), strict=True)] or [(), (), ()]
-            return pa.record_batch({"key": pa.array(found[0], pa.int64()), "start": pa.array(found[1], pa.int32()), "size": pa.array(found[2], pa.int32())})
+            found = [*zip(*shard(held), strict=True)] or [()] * 4
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(found, types, strict=True)], names=[*DOCUMENT, "start", "size"])
 
         held, size = [], 0
         for _, group in groupby(rows(), key=lambda r: r[0]):
-            for _, key, start, n, copies, words in group:
-                held.append((key, start, n, copies, words))
+            for _, key, more, start, n, copies, words in group:
+                held.append(((key, more), start, n, copies, words))
                 size += len(words) // 8
             if size >= SHARD_WORDS:
                 yield out(held)
@@ -218,39 +219,51 @@ def _match(window: int):
 def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, start, copies, words in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "copies", "words")), strict=True):
+            for anchor, key, more, start, copies, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", *DOCUMENT, "start", "copies", "words")), strict=True):
                 words = np.frombuffer(words, np.uint64)
                 n = len(words) - window + 1
                 got = run_hashes(words, np.arange(n), np.full(n, window))
-                yield pa.record_batch({"run": got.view(np.int64), "key": np.full(n, key), "start": (start + np.arange(n)).astype(np.int32), "copies": np.full(n, copies)})
+                yield pa.record_batch({"anchor": np.full(n, anchor), "run": got.view(np.int64), "key": np.full(n, key), "more": np.full(n, more, np.int32), "start": (start + np.arange(n)).astype(np.int32), "copies": np.full(n, copies)})
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, start, size): windows start..start+size-1 of the text `key` that occur elsewhere. docs: (key, text)."""
-    found = stash(docs.mapInArrow(_anchor_rows(window), "anchor long, ctx long, key long, start int, size int"), "anchors")
-    again = stash(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
-    found = stash(found.join(again, "anchor"), "contexts")
-    kinds = stash(found.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "size")).alias("rep")), "kinds")
-    whole = found.join(stash(kinds.where("copies > 1").select("anchor", "ctx"), "whole"), ["anchor", "ctx"]).select("key", "start", "size")
+    """(key, more, ranges): of the text (key, more), windows start..start+size-1 that occur elsewhere; a written table.
+
+    docs: (key, more, text). What is counted or joined is named by two hashes of 64 bits, or 96 bits of a document's
+    key, so that no two of them meet by chance at any size of input.
+    """
+    place = [*DOCUMENT, "start", "size"]
+    anchors = stash(docs.mapInArrow(lean(_anchor_rows(window)), "anchor long, ctx long, key long, more int, start int, size int"), "anchors")
+    again = stash(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
+    found = stash(anchors.join(again, "anchor"), "contexts")
+    forget(anchors, again)
+    kinds = stash(found.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct(*place)).alias("rep")), "kinds")
+    twice = kinds.where("copies > 1").select("anchor", "ctx", F.lit(True).alias("twice"))
+    whole = found.join(twice, ["anchor", "ctx"], "left").select(*DOCUMENT, F.when(F.col("twice"), F.struct("start", "size")).alias("range"))
     mixed = stash(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where("kinds > 1 and single > 0").select("anchor", (F.col("kinds") > HOT).alias("hot")), "mixed")
-    wanted = kinds.join(mixed, "anchor").select("rep.key", F.struct("anchor", "rep.start", "rep.size", "copies", "hot").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.join(wanted, "key")
-    cut = stash(texts.select("key", "text", "wanted").mapInArrow(_context_words(window), "anchor long, key long, start int, size int, copies long, hot boolean, words binary"), "words").dropDuplicates(["anchor", "key", "start"])
-    part = cut.where("not hot").select("anchor", "key", "start", "size", "copies", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match(window), "key long, start int, size int")
-    runs = stash(cut.where("hot").select("key", "start", "copies", "words").mapInArrow(_window_rows(window), "run long, key long, start int, copies long"), "runs")
-    common = stash(runs.groupBy("run").agg(F.sum("copies").alias("n")).where("n > 1").select("run"), "common")
-    hot = runs.where("copies = 1").join(common, "run").select("key", "start", F.lit(1).alias("size"))
-    return whole.unionByName(part).unionByName(hot)
+    wanted = kinds.join(mixed, "anchor").select("rep.key", "rep.more", F.struct("anchor", "rep.start", "rep.size", "copies", "hot").alias("w")).groupBy(*DOCUMENT).agg(F.collect_list("w").alias("wanted"))
+    texts = docs.join(wanted, [*DOCUMENT])
+    cut = stash(texts.select(*DOCUMENT, "text", "wanted").mapInArrow(lean(_context_words(window)), "anchor long, key long, more int, start int, size int, copies long, hot boolean, words binary"), "words")
+    once = cut.dropDuplicates(["anchor", *DOCUMENT, "start"])
+    part = stash(once.where("not hot").select("anchor", *place, "copies", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_match(window)), "key long, more int, start int, size int"), "part")
+    runs = stash(once.where("hot").select("anchor", *DOCUMENT, "start", "copies", "words").mapInArrow(lean(_window_rows(window)), "anchor long, run long, key long, more int, start int, copies long"), "runs")
+    forget(cut)
+    common = runs.groupBy("anchor", "run").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "run")
+    hot = runs.where("copies = 1").join(common, ["anchor", "run"]).select(*DOCUMENT, F.struct("start", F.lit(1).alias("size")).alias("range"))
+    part_ranges = part.select(*DOCUMENT, F.struct("start", "size").alias("range"))
+    # a context that is not repeated whole has a null range, which collect_set leaves out
+    out = stash(whole.unionByName(part_ranges).unionByName(hot).groupBy(*DOCUMENT).agg(F.collect_set("range").alias("ranges")), "ranges")
+    forget(found, kinds, mixed, part, runs)
+    return out
 
 
 def _removal(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, size, at = [], 0, 0
-            ranges = batch.column("ranges")
-            for k, text in enumerate(utf8(batch.column("text"))):
+        for part in (p for batch in batches for p in slices(batch)):
+            rows, ranges = [], part.column("ranges")
+            for k, text in enumerate(utf8(part.column("text"))):
                 words = text.split()
                 kept, removed = words, 0
                 if ranges[k].is_valid:
@@ -261,11 +274,8 @@ def _removal(window: int, with_text: bool):
                     removed = len(words) - len(kept)
                 joined = b" ".join(kept)
                 rows.append((len(words), removed, hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
-                size += len(joined)
-                if k + 1 == batch.num_rows or (with_text and size > 16 << 20):
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                    yield pa.record_batch([batch.column("row")[at : k + 1], *columns], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
-                    rows, size, at = [], 0, k + 1
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.record_batch([part.column("row"), *columns], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -277,11 +287,10 @@ def remove_repeats(docs: DataFrame, text_column: str = "text", window: int = WIN
     texts of their own, so what they share is removed from both. A text of fewer words than a window keeps all. Columns
     of docs may have any names. An empty table gives no rows.
     """
-    others = [c for c in docs.columns if c != text_column]
-    source = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(c) for c in others)).alias("row"), F.col(text_column).cast("string").alias("text"))
-    source = source.withColumn("key", F.xxhash64("row", "text"))
-    ranges = repeated_ranges(source.select("key", "text"), window)
-    ranges = ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
-    schema = f"row {source.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    out = source.join(ranges, "key", "left").select("row", "text", "ranges").mapInArrow(_removal(window, with_text), schema)
+    others = F.struct(*(F.col(c) for c in docs.columns if c != text_column)) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none"))
+    source = docs.select(others.alias("row"), F.col(text_column).cast("string").alias("text"))
+    source = source.withColumn("key", F.xxhash64("row", "text")).withColumn("more", F.hash("text", F.lit(7), "row"))
+    ranges = repeated_ranges(source.select(*DOCUMENT, "text"), window)
+    schema = StructType([source.schema["row"], *(StructField(n, t) for n, t in (("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType())))])
+    out = source.join(ranges, [*DOCUMENT], "left").select("row", "text", "ranges").mapInArrow(lean(_removal(window, with_text)), schema)
     return out if with_text else out.drop("kept_text")
