@@ -128,7 +128,7 @@ def test_media(spark, docs):
         media.SampleTable(data[:200])
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 64))
     rows = [(k, (base[k % 40] + rng.standard_normal(64) * (0.08 if k % 2 else 0.2)).astype(np.float32).tolist(), k % 2) for k in range(160)]
@@ -145,6 +145,10 @@ def test_embeddings(spark):
     least = {r: min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in root}
     want = Counter((i, len(links[n]), least[root[n]], i == least[root[n]]) for n, (i, _, _) in enumerate(rows))
     assert Counter(tuple(r) for r in embeddings.near_duplicates(df).collect()) == want and any(links.values())
+    # small buckets: several cuts and routes, and buckets of several blocks
+    monkeypatch.setattr(embeddings, "BUCKET_ROWS", 12)
+    monkeypatch.setattr(embeddings, "QUERIES", 5)
+    assert Counter(tuple(r) for r in embeddings.near_duplicates(df).collect()) == want
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -257,6 +261,7 @@ def test_classifier_edges(spark, docs):
     one = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 1, 1), (14, None, None)], "doc_id long, quality int, toxic int")
     for labels in (none, one):
         assert quality.score(docs, quality.train(docs, labels)).count() == docs.count()
+        assert quality.keep_good(docs, quality.train(docs, labels)).columns == docs.columns
         got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
         assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert quality.classify(docs.limit(0), none).count() == 0
