@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import new_path, stash
+from .scratch import lean, new_path, stash
 
 CHUNK_BYTES = 64 << 10
 LEVEL = 1
@@ -144,7 +144,7 @@ def _page(urn: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
-def _read(data: bool, last_only: bool, batch_bytes: int = 8 << 20):
+def _read(data: bool, batch_bytes: int = 8 << 20):
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in CHUNKS.split(", ")])
@@ -169,8 +169,7 @@ def _read(data: bool, last_only: bool, batch_bytes: int = 8 << 20):
                     said, now = meta["warc-payload-digest"].removeprefix("sha1:"), base32(sha1)
                     if not left and meta["warc-type"] == "response" and said != now:
                         raise ValueError(f"{archive}: payload digest of record {number} does not hold")
-                    if not left or not last_only:
-                        yield (*record, said, whole, chunk, offset, len(piece), piece if data else None, now, not left)
+                    yield (*record, said, whole, chunk, offset, len(piece), piece if data else None, now, not left)
                     offset, chunk = offset + len(piece), chunk + 1
                     if not left:
                         break
@@ -194,18 +193,22 @@ def _read(data: bool, last_only: bool, batch_bytes: int = 8 << 20):
     return read
 
 
-def read_chunks(manifest: DataFrame, data: bool = True, last_only: bool = False) -> DataFrame:
-    """Rows of CHUNKS for every archive. Without data the chunks' bytes stay null; last_only keeps each record's last
-    chunk, whose digest_so_far is that of the payload. A revisit has one empty chunk, and the digest and length that
-    its headers state. A truncated or altered archive raises."""
+def read_chunks(manifest: DataFrame, data: bool = True) -> DataFrame:
+    """Rows of CHUNKS, one per record and chunk, for every archive. Without data the chunks' bytes stay null. The
+    digest_so_far of a record's last chunk is that of its payload. A revisit has one empty chunk, and the digest and
+    length that its headers state. A truncated or altered archive raises. Of an empty manifest there are no rows."""
     spark = manifest.sparkSession
     files = manifest.select("archive").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return files.mapInArrow(_read(data, last_only), CHUNKS)
+    return files.mapInArrow(lean(_read(data)), CHUNKS)
 
 
 def archived_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes and reads back; per page: page_id, payload_bytes, payload_digest, record_type, refers_to, archive, chunks."""
-    ends = read_chunks(write_archives(pages, min_bytes), data=False, last_only=True)
+    """Writes and reads back; per page: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks.
+
+    What is said of a record comes from the row of its last chunk. Nulls, repeats, ties and empty tables are as in
+    write_archives; every row of pages comes back once.
+    """
+    ends = read_chunks(write_archives(pages, min_bytes), data=False).where("last")
     response = F.col("record_type") == "response"
     return ends.select(
         "page_id", F.when(response, F.col("chunk_offset") + F.col("chunk_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
