@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded, lean, stash
+
 WIDTH, HEIGHT = 16, 12
 FRAME = WIDTH * HEIGHT
 TIMESCALE, SAMPLES_PER_CHUNK, KEY_EVERY = 24, 16, 8
@@ -172,12 +174,21 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text as a stored file. A null text is stored as an empty one; every row, repeated or
-    with a null id, comes back once; equal texts give equal files; other columns are dropped, whatever their names."""
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_encode_rows, "id long, n_bytes long, media binary")
+    """(id, n_bytes, media): each text as a stored file, in a written table.
+
+    A null or empty text is stored as one frame of spaces; a very long one takes as many frames as it needs, with
+    64-bit offsets where 32 bits do not do. Every row, repeated or with a null id, comes back once; equal texts give
+    equal files. Other columns are dropped, whatever their names. An empty table gives no rows.
+    """
+    bounded(docs.sparkSession)
+    made = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(lean(_encode_rows), "id long, n_bytes long, media binary")
+    return stash(made, "media")
 
 
 def probe(media: DataFrame) -> DataFrame:
-    """Container features of the files of to_media; a file without a complete sample table raises ValueError."""
+    """Container features of stored files, one row per row; a file without a complete sample table raises ValueError.
+
+    An empty table gives no rows; repeated rows each come back.
+    """
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, seconds double, samples long, keyframes array<struct<offset:long,bytes:long>>"
-    return media.mapInArrow(_probe_rows, schema)
+    return media.mapInArrow(lean(_probe_rows), schema)

@@ -24,8 +24,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.probe(media.to_media(table(prepare(spark), sf_dir, "documents")))
-    feature = F.format_string("%s|%.6f|%d|%d|%s", "codec", "seconds", "samples", F.size("keyframes"), F.sha1(F.to_json("keyframes")))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    first, last = F.get("keyframes", F.lit(0)), F.try_element_at("keyframes", F.lit(-1))
+    feature = F.format_string("%s|%.6f|%d|%d|%d+%d|%d+%d", "codec", "seconds", "samples", F.size("keyframes"), first["offset"], first["bytes"], last["offset"], last["bytes"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", "seconds", "keyframes")
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
