@@ -16,12 +16,15 @@ def held_out(id_column: str, modulus: int, rest: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_class: int, id_column: str = "doc_id") -> DataFrame:
-    """docs rows with their label y, at most per_class ids of each class, by hash order of the id; none held out.
+    """(id, text, y): at most per_class documents of each class, by hash order of the id; none held out.
 
-    An id labelled more than once has its greatest label; an id that several rows repeat brings each of them.
+    An id labelled more than once has its greatest label. Of several rows with one id only that with the least text
+    hash comes, so at most 2 * per_class rows leave here.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.max(label) > 0).cast("int").alias("y"))
     known = known.where(remainder("__id", modulus) != rest).withColumn("__h", F.xxhash64("__id"))
     some = [known.where(F.col("y") == y).orderBy("__h", "__id").limit(per_class) for y in (0, 1)]
     some = some[0].unionByName(some[1]).select("__id", "y")  # at most 2 * per_class thin rows
-    return docs.join(F.broadcast(some), docs[id_column] == F.col("__id")).drop("__id")
+    rows = docs.select(F.col(id_column).alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "__id")
+    one = rows.groupBy("__id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select(F.col("__id").alias(id_column), "text", "y")

@@ -110,6 +110,11 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray) -> Rules:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Rules:
+    """Rules from at most `sample` labelled documents of each class, none of them held out.
+
+    Null labels and ids name no document; an id with several labels has the greatest; an id of several rows gives one
+    of them. Without labels, or with one class only, the rules are a constant.
+    """
     stats = statistics(F.col("text"))
     rows = labelled(docs.select("doc_id", "text"), labels, label, MODULUS, HELD, sample)
     # both classes are sampled alike, so their true odds go into the constant
@@ -124,18 +129,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def score(docs: DataFrame, rules: Rules) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on).
+    """(row, score, predicted): each row of docs as a struct, with its score (0 to 1) and 1 from THRESHOLD on, else 0.
 
-    Every row comes back once, its own columns unchanged; a null text scores as an empty one. Columns of docs named
-    score or predicted are replaced.
+    Every row, repeated or with nulls, comes back once, and its columns may have any names. A null text scores as an
+    empty one; a very long text is read whole; texts with equal statistics score alike. An empty table gives no rows.
     """
-    stats = statistics(F.col("__row.text"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row")).select("__row", *(c.cast("double").alias(n) for n, c in stats.items()))
-    scored = rows.select("__row", rules.column().alias("__score"))
-    return scored.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.select("row", *(c.cast("double").alias(n) for n, c in statistics(F.col("row.text")).items()))
+    return rows.select("row", rules.column().alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, rules: Rules) -> DataFrame:
+    """The rows of docs that are predicted good, unchanged."""
+    return score(docs, rules).where("predicted = 1").select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of docs."""
+    """(doc_id, held_out, score, predicted) per row of docs; nulls, repeats and empty tables as in score and train."""
     rows = score(docs.select("doc_id", "text"), train(docs, labels))
-    return rows.select("doc_id", held_out("doc_id", MODULUS, HELD).alias("held_out"), "score", "predicted")
+    return rows.select("row.doc_id", held_out("row.doc_id", MODULUS, HELD).alias("held_out"), "score", "predicted")

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learn import held_out, labelled
-from .wordhash import utf8, word_spans
+from .scratch import bounded, lean
+from .wordhash import slices, utf8, word_spans
 
 #: Most labelled documents of each class that the fit sees.
 SAMPLE = 1500
@@ -320,18 +321,18 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
 def _score_rows(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = [t.lower() for t in utf8(batch.column("text"))], 0
-            while at < len(texts):
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= 2 << 20:
-                    size, end = size + len(texts[end]), end + 1
-                yield pa.record_batch({"doc_id": batch.column("doc_id")[at:end], "score": pa.array(scores(net, texts[at:end]))})
-                at = end
+            for part in slices(batch, rows=batch.num_rows):
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(scores(net, [t.lower() for t in utf8(part.column("text"))]))})
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Network:
+    """A network from at most `sample` labelled documents of each class, none of them held out.
+
+    Null labels and ids name no document; an id with several labels has the greatest; an id of several rows gives one
+    of them; null and empty texts are left out. Without labels, or with one class only, every score is a constant.
+    """
     got = labelled(docs.select("doc_id", "text"), labels, label, MODULUS, HELD, sample).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
     whole = labels.where(F.col(label).isNotNull() & F.coalesce(F.crc32(F.col("doc_id").cast("string")) % MODULUS != HELD, F.lit(False))).agg(F.sum((F.col(label) > 0).cast("int")).alias("one"), F.count("*").alias("all")).first()
     odds = whole["one"] / (whole["all"] - whole["one"]) if whole["one"] and whole["one"] < whole["all"] else None
@@ -339,6 +340,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row; a null text scores as an empty one, whatever columns stand beside."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score_rows(net), "doc_id long, score double")
+    """(doc_id, held_out, score, predicted) per row, whatever columns stand beside.
+
+    A null text scores as an empty one: the bias alone. A very long text is scored over all its windows; equal texts
+    score alike; rows that repeat an id, or have none, each come back (held_out is false without an id). An empty
+    table gives no rows.
+    """
+    bounded(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_score_rows(net)), "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id", MODULUS, HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
