@@ -45,15 +45,14 @@ def fold(text: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """Plural folding: more than four letters, ending in s or x but not after s or u."""
-    plural = (F.length(token) > 4) & token.rlike("^[a-z]+$") & token.rlike("[^su][sx]$")
+    plural = (F.length(token) > 4) & F.right(token, F.lit(1)).isin("s", "x") & ~F.substring(token, -2, 1).isin("s", "u") & token.rlike("^[a-z]+$")
     return F.when(plural, F.substring(token, 1, F.length(token) - 1)).otherwise(token)
 
 
 def tokens(text: Column) -> Column:
     """Array of search terms; stop words and single characters go before stemming."""
     found = F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)), stem)
+    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)), stem)
 
 
 def normalise(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Dense top-k of a stated query set: blocks of vectors against the query matrix, top-k within each block first."""
+"""Dense top-k of a stated query set: blocks of vectors against the query matrix, cut to each block's best first."""
 
 from __future__ import annotations
 
@@ -15,39 +15,56 @@ from .retrieval import hash_embedding, rank
 QUERY_BLOCK = 4096
 
 
-def _block(names: np.ndarray, matrix: np.ndarray, k: int, same_ids: bool):
+def _block(names: list, matrix: np.ndarray, allowed: list[set | None], k: int, same_ids: bool, types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(names):
                 continue
-            ids = np.asarray(batch.column("id"))
+            ids = batch.column("id").to_pylist()
             scores = np.round(matrix @ np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column("v")]).astype(np.float64).T, 5)
             if same_ids:
-                scores[names[:, None] == ids[None, :]] = -np.inf
-            top = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            q = np.repeat(names, top.shape[1])
-            flat = scores[np.arange(len(names))[:, None], top].ravel()
-            keep = np.isfinite(flat)
-            yield pa.record_batch({"query_id": q[keep], "id": ids[top].ravel()[keep], "score": flat[keep]})
+                place = {q: n for n, q in enumerate(names)}
+                own = [(place[i], c) for c, i in enumerate(ids) if i in place]
+                scores[[o[0] for o in own], [o[1] for o in own]] = -np.inf
+            if any(a is not None for a in allowed):
+                docs = batch.column("doc_id").to_pylist()
+                for n, some in enumerate(allowed):
+                    if some is not None:
+                        scores[n, [d not in some for d in docs]] = -np.inf
+            # all that reach the k-th best score, ties too; the ranking outside decides among them
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(names), -np.inf)
+            q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            yield pa.record_batch({"query_id": pa.array([names[n] for n in q.tolist()], types[0]), "id": pa.array([ids[n] for n in c.tolist()], types[1]), "score": pa.array(scores[q, c])})
 
     return run
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, same_ids: bool = True) -> DataFrame:
-    """vectors (id, v), queries (query_id, v) of unit length -> (query_id, id, score, rank); same_ids: queries are some of
-    the vectors, and none is its own hit."""
+    """vectors (id, v), queries (query_id, v) of unit length -> (query_id, id, score, rank).
+
+    same_ids: queries are some of the vectors, and none is its own hit. With doc_id in vectors and doc_ids (array) in
+    queries, a query with a list of documents sees only theirs, before the cut; a null or empty list is no filter.
+    """
+    filtered = "doc_ids" in queries.columns
     rows = queries.orderBy("query_id").toPandas()
+    kinds = [t.dataType.simpleString() for t in (queries.schema["query_id"], vectors.schema["id"])]
+    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(k, pa.string()) for k in kinds]
     out = None
     for at in range(0, max(len(rows), 1), QUERY_BLOCK):
         part = rows.iloc[at : at + QUERY_BLOCK]
         matrix = np.stack(part["v"].to_list()).astype(np.float64) if len(part) else np.empty((0, 1))
-        found = vectors.select("id", "v").mapInArrow(_block(part["query_id"].to_numpy(np.int64), matrix, k, same_ids), "query_id long, id long, score double")
+        allowed = [set(d) if d is not None and len(d) else None for d in part["doc_ids"]] if filtered else [None] * len(part)
+        found = vectors.select("id", "v", *(["doc_id"] if filtered else [])).mapInArrow(_block(part["query_id"].tolist(), matrix, allowed, k, same_ids, types), f"query_id {kinds[0]}, id {kinds[1]}, score double")
         out = found if out is None else out.unionByName(found)
     return rank(out, k=k)
 
 
 def text_vectors(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, v): unit hash embeddings of 256 dimensions; texts without terms have none."""
-    counts = hash_embedding(rows, id_column, text_column)
+    return dense_of(hash_embedding(rows, id_column, text_column))
+
+
+def dense_of(counts: DataFrame) -> DataFrame:
+    """(id, bucket, n) -> (id, v), of unit length."""
     entries = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("v"))

@@ -15,36 +15,11 @@ def postings(passages: DataFrame, id_column: str, text_column: str) -> DataFrame
     return passages.select(F.col(id_column).alias("id"), F.explode(tokens(F.col(text_column))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(passages: DataFrame, post: DataFrame, id_column: str) -> DataFrame:
-    """(id, dl): every passage, also one without terms."""
-    return passages.select(F.col(id_column).alias("id")).join(post.groupBy("id").agg(F.sum("tf").alias("dl")), "id", "left").fillna(0, ["dl"])
-
-
 def rank(rows: DataFrame, score: str = "score", query: str = "query_id", key: str = "id", k: int | None = None) -> DataFrame:
     out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(key))))
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25(passages: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text", query_column: str = "item_id", query_text: str = "text", among: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank). `among` (id) filters after scoring, so idf stays that of the whole corpus.
-
-    Queries drive the plan: only postings of their terms meet; scores are rounded to 5 places before ranking.
-    """
-    post = postings(passages, id_column, text_column)
-    size = lengths(passages, post, id_column)
-    stats = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = queries.select(F.col(query_column).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = wanted.join(df, "term").join(size, "id").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(hits.select("term", "id", weight.alias("w")), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 5).alias("score"))
-    if among is not None:
-        scored = scored.join(among, "id", "left_semi")
-    return rank(scored, k=k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -54,17 +29,14 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """vectors (id, v) against a stated query set (query_id, v), unit vectors; a query is not its own hit."""
-    pairs = vectors.select("id", "v").join(queries.select("query_id", F.col("v").alias("q")), F.col("id") != F.col("query_id"))
-    return rank(pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 5).alias("score")), k=k)
+def hash_counts(terms: DataFrame) -> DataFrame:
+    """(id, term, tf) -> (id, bucket, n): counts by the first byte of each term's MD5 (dimension 256)."""
+    bucket = F.conv(F.substring(F.md5("term"), 1, 2), 16, 10).cast("int")
+    return terms.groupBy("id", bucket.alias("bucket")).agg(F.sum("tf").alias("n"))
 
 
 def hash_embedding(passages: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, bucket, n): counts by the first byte of each term's MD5 (dimension 256)."""
-    terms = postings(passages, id_column, text_column)
-    bucket = F.conv(F.substring(F.md5("term"), 1, 2), 16, 10).cast("int")
-    return terms.groupBy("id", bucket.alias("bucket")).agg(F.sum("tf").alias("n"))
+    return hash_counts(postings(passages, id_column, text_column))
 
 
 def fuse(rankings: list[DataFrame], k: int | None = 20) -> DataFrame:

@@ -6,10 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
 from ..operators import evaluate
-from ..operators.dense import dense_topk, text_vectors
-from ..operators.retrieval import bm25, fuse, hash_embedding, l2_normalise, latest, missing, postings
+from ..functions.text import pseudo_translate
+from ..operators.dense import dense_of, dense_topk, text_vectors
+from ..operators.retrieval import fuse, hash_counts, hash_embedding, l2_normalise, latest, missing, postings
+from ..operators.search import Index, bm25
+from ..sources.vectors import point_id
+from ..storage import shared_path, written
 from .registry import Tables, query
 
+#: Words of a run that documents and items of the benchmark meet on.
+GRAM = 3
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -54,22 +60,41 @@ _HYBRID = f"{_BM25}, {_DENSE}, {duck_fuse('hyb', ['den', 'lex'])}"
 _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def lexical(t: Tables, k: int = 20):
-    return bm25(t.documents, t.benchmark, k)
+def index_of(t: Tables) -> Index:
+    return Index.build(t.documents, shared_path(t.spark, "index"), "doc_id")
 
 
-def dense_text(t: Tables, k: int = 20):
-    asked = text_vectors(t.benchmark, "item_id", "text").withColumnRenamed("id", "query_id")
-    return dense_topk(text_vectors(t.documents, "doc_id", "text"), asked, k, same_ids=False)
+def lexical(t: Tables, index: Index | None = None, asked=None, k: int = 20):
+    asked = t.benchmark if asked is None else asked
+    return (index or index_of(t)).lexical(asked.select(F.col("item_id").alias("query_id"), "text"), k)
+
+
+def dense_text(t: Tables, index: Index, asked=None, k: int = 20):
+    own = text_vectors(t.benchmark if asked is None else asked, "item_id", "text").withColumnRenamed("id", "query_id")
+    return dense_topk(dense_of(hash_counts(index.postings)), own, k, same_ids=False)
 
 
 def truth(t: Tables):
-    return t.documents.alias("d").join(F.broadcast(t.benchmark.alias("b")), F.contains(F.col("d.text"), F.col("b.text"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    """(query_id, id): documents that hold an item's text. Both sides meet on runs of GRAM words, then the text decides.
+
+    An item's inner words are whole words of every document that holds it, so one run of them, the item's least hash,
+    finds all its documents. Items with too few words for a run are held against every document.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    runs = lambda w, first, last: F.transform(F.sequence(first, last), lambda k: F.xxhash64(*(F.get(w, k + i) for i in range(GRAM))))
+    items = t.benchmark.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    long_ = items.where(F.size("w") >= GRAM + 2).withColumn("run", F.array_min(runs(F.col("w"), F.lit(1), F.size("w") - 1 - GRAM)))
+    docs = t.documents.select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= GRAM)
+    anchors = docs.select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(0), F.size("w") - GRAM))).alias("run"))
+    met = anchors.join(long_.select("item_id", "item", "run"), "run").select("item_id", "item", "doc_id").distinct().join(t.documents.select("doc_id", "text"), "doc_id")
+    short = items.where(F.size("w") < GRAM + 2).select("item_id", "item").join(t.documents.select("doc_id", "text"), F.contains("text", F.col("item")))
+    return met.where(F.contains("text", F.col("item"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).unionByName(short.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")))
 
 
 def systems(t: Tables):
-    asked, true = t.benchmark.select(F.col("item_id").alias("query_id")), truth(t).cache()
-    lex, den = lexical(t).cache(), dense_text(t).cache()
+    index = index_of(t)
+    asked, true = t.benchmark.select(F.col("item_id").alias("query_id")), written(truth(t), "truth")
+    lex, den = written(lexical(t, index), "lexical"), written(dense_text(t, index), "dense")
     named = {"bm25": lex, "dense": den, "hybrid": fuse([den, lex])}
     out = None
     for name, ranking in named.items():
@@ -153,12 +178,14 @@ def l2_normalised(t: Tables):
 
 @query(f"WITH {_HYBRID} SELECT query_id AS item_id, id AS doc_id, score, rank FROM hyb")
 def rrf_hybrid(t: Tables):
-    return fuse([dense_text(t), lexical(t)]).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    index = index_of(t)
+    return fuse([dense_text(t, index), lexical(t, index)]).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query(f"WITH {_HYBRID} SELECT query_id AS item_id, id AS doc_id, rank, rank_0 AS dense_rank, rank_1 AS bm25_rank FROM hyb WHERE rank <= 5")
 def hybrid_explain_ranks(t: Tables):
-    return fuse([dense_text(t), lexical(t)], 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.col("rank_0").alias("dense_rank"), F.col("rank_1").alias("bm25_rank"))
+    index = index_of(t)
+    return fuse([dense_text(t, index), lexical(t, index)], 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.col("rank_0").alias("dense_rank"), F.col("rank_1").alias("bm25_rank"))
 
 
 @query(f"WITH {_SYSTEMS} SELECT system, query_id AS item_id, rank FROM ranks")
@@ -182,17 +209,17 @@ def paired_mcnemar(t: Tables):
     return evaluate.paired(systems(t))
 
 
-_CUT = "(SELECT item_id, substr(text, 1, 60) AS text FROM benchmark)"
+# the second wording of a question is its pseudo-translation
+_UPPER = "rtrim(upper(replace(text, 'ß', 'ss')))"
+_CUT = f"(SELECT item_id, CASE WHEN trim(text) = '' OR CAST(ceil(length(trim(text)) * 0.2) AS INT) < 2 THEN {_UPPER} ELSE {_UPPER} || ' ' || lower(rtrim(substr(trim(text) || ' ' || trim(text), 1, CAST(ceil(length(trim(text)) * 0.2) AS INT) - 1))) END AS text FROM benchmark)"
 _STRATEGY = {"original": ["den", "lex"], "translated": ["den2", "lex2"], "both": ["den", "lex", "den2", "lex2"], "bm25_both": ["den", "lex", "lex2"], "bm25_x2": ["den", "lex", "lex"]}
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {duck_tokens('qt2', _CUT, 'item_id')}, {duck_bm25('lex2', 'qt2')}, {duck_vectors('qv2', 'qt2')}, {duck_dense('den2', 'dv', 'qv2')}, " + ", ".join(duck_fuse(f"f_{s}", lists, 10) for s, lists in _STRATEGY.items()) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS strategy, query_id AS item_id, id AS doc_id, score, rank FROM f_{s}" for s in _STRATEGY) + ")")
 def strategy_union(t: Tables):
-    short = t.benchmark.withColumn("text", F.substring("text", 1, 60))
-    docs = text_vectors(t.documents, "doc_id", "text").cache()
-    asked = lambda q: dense_topk(docs, text_vectors(q, "item_id", "text").withColumnRenamed("id", "query_id"), 20, same_ids=False)
-    lists = {"lex": lexical(t), "lex2": bm25(t.documents, short), "den": asked(t.benchmark), "den2": asked(short)}
-    lists = {n: r.cache() for n, r in lists.items()}
+    index, other = index_of(t), t.benchmark.withColumn("text", pseudo_translate(F.col("text")))
+    lists = {"lex": lexical(t, index), "lex2": lexical(t, index, other), "den": dense_text(t, index), "den2": dense_text(t, index, other)}
+    lists = {n: written(r, n) for n, r in lists.items()}
     out = None
     for name, parts in _STRATEGY.items():
         fused = fuse([lists[p] for p in parts], 10).select(F.lit(name).alias("strategy"), F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
@@ -200,10 +227,11 @@ def strategy_union(t: Tables):
     return out
 
 
-@query("SELECT sha256('m1' || chr(10) || text) AS point_id, doc_id FROM documents WHERE doc_id % 7 = 3 AND sha256('m1' || chr(10) || text) NOT IN (SELECT sha256('m1' || chr(10) || text) FROM documents WHERE doc_id % 7 <> 3)")
+@query("SELECT sha256('m1' || chr(10) || text) AS point_id, doc_id FROM documents WHERE lang <> 'en' AND sha256('m1' || chr(10) || text) NOT IN (SELECT sha256('m1' || chr(10) || text) FROM documents WHERE lang = 'en')")
 def missing_vectors(t: Tables):
-    keyed = t.documents.select(F.sha2(F.concat(F.lit("m1\n"), "text"), 256).alias("point_id"), "doc_id")
-    return missing(keyed.where("doc_id % 7 = 3"), keyed.where("doc_id % 7 <> 3"), "point_id")
+    """Documents in other languages whose text is not indexed yet, where the English ones are."""
+    keyed = t.documents.select(point_id("m1", F.col("text")).alias("point_id"), "doc_id", "lang")
+    return missing(keyed.where("lang <> 'en'"), keyed.where("lang = 'en'"), "point_id").drop("lang")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")

@@ -6,7 +6,7 @@ from docloom.functions import text as X
 from docloom.functions.kernels import batch_ranges, loose_figures, pack_ranges, plain_numbers, quote_holds, split_long
 from docloom.functions.markup import markup_html
 from docloom.operators.evaluate import binomial_p
-from docloom.operators.retrieval import bm25
+from docloom.operators.search import bm25
 
 PASSAGE = "Global emissions reached 59 GtCO2 in 2019, about 12% higher than in 2010 and 54% higher than in 1990."
 
