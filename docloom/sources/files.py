@@ -23,7 +23,7 @@ def exists(spark: SparkSession, uri: str) -> bool:
 def bucket_and_prefix(url: Column) -> Column:
     """gs://bucket/a/b as struct(bucket, prefix "a/b/"); null for other URLs and without a bucket."""
     bucket = F.regexp_extract(url, "^gs://([^/]+)", 1)
-    prefix = F.trim(F.lit("/"), F.regexp_extract(url, "^gs://[^/]+/(.*)$", 1))
+    prefix = F.trim(F.regexp_extract(url, "^gs://[^/]+/(.*)$", 1), F.lit("/"))
     return F.when(bucket != "", F.struct(bucket.alias("bucket"), F.when(prefix != "", F.concat(prefix, F.lit("/"))).otherwise("").alias("prefix")))
 
 

@@ -124,9 +124,12 @@ def run_job(jobs: Jobs, job_id: str, work: Callable[[Callable[[int, int], None]]
         jobs.put(row.withColumn("ts", F.current_timestamp()))
         return status
 
+    def tell(done: int, total: int) -> None:
+        note("running", "", done, total)
+
     note("running")
     try:
-        return note("done", work(lambda done, total: note("running", "", done, total)))
+        return note("done", work(tell))
     except Exception as error:  # whatever happened is the job's result
         log.warning("job %s failed", job_id, exc_info=True)
         return note("failed", f"{type(error).__name__}: {error}"[:200])
