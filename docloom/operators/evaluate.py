@@ -15,6 +15,12 @@ def first_hits(ranking: DataFrame, truth: DataFrame, questions: DataFrame) -> Da
     return questions.select("query_id").join(hits, "query_id", "left")
 
 
+def first_pages(ranking: DataFrame, expected: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, rank): the first rank whose (doc_id, page) is expected, null for a miss."""
+    hits = ranking.join(expected, ["query_id", "doc_id", "page"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return questions.select("query_id").join(hits, "query_id", "left")
+
+
 def hit(rank: str, k: int) -> Column:
     return F.coalesce((F.col(rank) <= k).cast("int"), F.lit(0))
 
