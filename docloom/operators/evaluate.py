@@ -61,11 +61,14 @@ def paired(ranks: DataFrame, k: int = 5, depth: int = 10) -> DataFrame:
     return out.withColumn("hit_p", F.round(binomial_p(F.col("hit_wins"), F.col("hit_losses")), 6)).withColumn("rank_p", F.round(binomial_p(F.col("rank_wins"), F.col("rank_losses")), 6))
 
 
-def kept_ratio(rows: DataFrame, by: list[str]) -> DataFrame:
-    total = F.sum("kept") + F.sum("removed")
-    return rows.groupBy(*by).agg(F.sum("kept").alias("kept"), F.sum("removed").alias("removed"), F.round(F.try_divide(F.sum("kept"), total), 6).alias("kept_ratio"))
+def pairs(systems: DataFrame) -> DataFrame:
+    """(system_a, system_b): every two systems once. There are a handful of systems."""
+    a, b = systems.select(F.col("system").alias("system_a")), systems.select(F.col("system").alias("system_b"))
+    return a.join(b, F.col("system_a") < F.col("system_b"))
 
 
-def cost_usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
-    """Null unless both prices are known."""
-    return F.round((tokens_in * price_in + tokens_out * price_out) / 1e6, 6)
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, middle, lower, upper): the usual median, and those of the lower and the upper of two middle values."""
+    lower, upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
+    found = rows.groupBy(*by).agg(lower.alias("lower"), upper.alias("upper"))
+    return found.select(*by, F.round((F.col("lower") + F.col("upper")) / 2, 6).alias("middle"), "lower", "upper")

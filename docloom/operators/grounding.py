@@ -212,8 +212,8 @@ def judge_join(items: DataFrame, verdicts: DataFrame, judged: DataFrame | None =
     holds, if they have one; an item without a verdict is faithful. judged (request_id, judged): requests of whose
     judge there is no reply keep all, as not judged.
     """
-    by = F.col("pos") if "pos" in verdicts.columns else F.monotonically_increasing_id()
-    last = verdicts.groupBy("request_id", "n").agg(F.max_by(F.struct("faithful", "problem"), by).alias("v"))
+    both = F.struct("faithful", "problem")
+    last = verdicts.groupBy("request_id", "n").agg((F.max_by(both, "pos") if "pos" in verdicts.columns else F.any_value(both)).alias("v"))
     rows = items.join(last, ["request_id", "n"], "left")
     if judged is not None:
         rows = rows.join(judged.select("request_id", F.col("judged").alias("__judged")), "request_id", "left")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import language
 from ..functions import text as X
 from ..operators import chunk
-from .registry import Tables, query, sql
+from ..sources import html
+from .registry import Tables, query
 
 _LINES = """lines AS (SELECT doc_id, CAST(u.pos AS INT) AS pos, CAST(u.pos // 40 AS INT) AS page, a[u.pos + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(range(len(a))) AS u(pos)),
 sized AS (SELECT *, CASE WHEN length(text) < 40 THEN 12.0 WHEN length(text) % 7 = 0 THEN 7.0 ELSE 10.0 END AS size, length(text) < 40 AND pos % 5 = 0 AS bold FROM lines)"""
@@ -26,10 +28,15 @@ def boilerplate_lines(t: Tables):
     return chunk.boilerplate(_lines(t))
 
 
-@query("SELECT doc_id, CAST(u.pos AS INT) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(range(len(a))) AS u(pos) WHERE regexp_full_match(regexp_replace(a[u.pos + 1], '[°º]\\s?[CFK]\\b', ' ', 'g'), '[\\d\\s.,;:%°+\\-–—−()\\[\\]/×*≈<>~$€£]+')")
+_CELLS = """cells AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_custkey AS VARCHAR) || ' °C' WHEN 1 THEN '+' || o_custkey || ',5 %' WHEN 2 THEN o_orderpriority WHEN 3 THEN '' WHEN 4 THEN o_custkey || chr(160) || '000 kg' ELSE '(' || o_custkey || ' – 9)' END AS text FROM orders)"""
+
+
+@query(f"WITH {_CELLS} SELECT o_orderkey, regexp_full_match(regexp_replace(replace(text, chr(160), ' '), '[°º]\\s?[CFK]\\b', ' ', 'g'), '[\\d\\s.,;:%°+\\-–—−()\\[\\]/×*≈<>~$€£]+') AS is_numeric FROM cells")
 def numeric_lines(t: Tables):
-    plain = F.regexp_replace("text", r"[°º]\s?[CFK]\b", " ")
-    return _lines(t).where(plain.rlike(r"^[\d\s.,;:%°+\-–—−()\[\]/×*≈<>~$€£]+$")).select("doc_id", "pos")
+    """Cells of a table with figures, units, names and nothing."""
+    key, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 6
+    cell = F.when(k == 0, F.concat(key, F.lit(" °C"))).when(k == 1, F.concat(F.lit("+"), key, F.lit(",5 %"))).when(k == 2, F.col("o_orderpriority")).when(k == 3, "").when(k == 4, F.concat(key, F.lit("\u00a0000 kg"))).otherwise(F.concat(F.lit("("), key, F.lit(" – 9)")))
+    return t.orders.select("o_orderkey", X.is_numeric(cell).alias("is_numeric"))
 
 
 @query(f"WITH {_LINES} SELECT doc_id, pos, regexp_matches(text, '\\p{{L}}{{2,}}') AS words, regexp_matches(text, '(\\.\\s?){{6,}}') AS leader FROM lines")
@@ -68,24 +75,17 @@ def passage_sections(t: Tables):
     return rows.join(chunk.body_size(rows), "doc_id").select("doc_id", "pos", carried.alias("section"))
 
 
-sql("spread_sample", """
-WITH p AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS m, sum(length(text)) OVER (PARTITION BY conv_id) AS total FROM conversations),
-k AS (SELECT *, CASE WHEN total <= 1500 THEN m ELSE greatest(1, CAST(floor(m * 1500.0 / total) AS BIGINT)) END AS keep FROM p)
-SELECT conv_id, turn FROM k WHERE total <= 1500 OR floor(ceil(i * keep / CAST(m AS DOUBLE)) * (m / CAST(keep AS DOUBLE)) + 1e-9) = i AND ceil(i * keep / CAST(m AS DOUBLE)) < keep
-""")
-
-
 @query("SELECT doc_id, u.n AS part, s[u.n + 1] AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents), unnest(range(len(s))) AS u(n)")
 def sentence_split(t: Tables):
     return t.documents.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("part", "sentence")).withColumn("part", F.col("part").cast("long"))
 
 
-_NUMS = "regexp_replace(regexp_replace(regexp_replace(text, '(\\d)[   ](\\d{3})\\b', '\\1\\2', 'g'), '(\\d)[   ](\\d{3})\\b', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g')"
-
-
-@query(f"SELECT doc_id, md5({_NUMS}) AS digest FROM documents WHERE regexp_matches(text, '[0-9]')")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey || '000123.75' WHEN 1 THEN o_custkey || '999 t, 1.5' ELSE 'CO2: ' || o_custkey || ' 12 and 1234' END AS numbers FROM orders")
 def number_normalise(t: Tables):
-    return t.documents.where(F.col("text").rlike("[0-9]")).select("doc_id", F.md5(X.normalise_numbers(F.col("text"))).alias("digest"))
+    """Figures with plain, no-break and narrow spaces between thousands and a decimal comma."""
+    key, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 3
+    raw = F.when(k == 0, F.concat(key, F.lit("\u00a0000\u202f123,75"))).when(k == 1, F.concat(key, F.lit(" 999 t, 1,5"))).otherwise(F.concat(F.lit("CO2: "), key, F.lit(" 12 and 1\u00a0234")))
+    return t.orders.select("o_orderkey", X.normalise_numbers(raw).alias("numbers"))
 
 
 @query("SELECT doc_id, n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])(\\d+(?:[.,]\\d+)*)', 1)) AS n FROM documents)")
@@ -119,35 +119,28 @@ def joined_lines(t: Tables):
     return t.documents.select("doc_id", X.join_lines(F.split("text", "\n")).alias("text"))
 
 
-@query("SELECT page_id, coalesce(regexp_extract(html, '<html lang=\"([a-zA-Z]+)', 1), '') AS lang FROM pages")
+@query("SELECT page_id, CASE WHEN regexp_extract(html, '<html lang=\"([a-zA-Z]+)', 1) IN ('en', 'fr', 'de', 'es', 'it', 'pt') THEN regexp_extract(html, '<html lang=\"([a-zA-Z]+)', 1) END AS lang FROM pages")
 def page_lang(t: Tables):
-    return t.pages.select("page_id", F.regexp_extract("html", '<html lang="([a-zA-Z]+)', 1).alias("lang"))
+    return t.pages.select("page_id", language.metadata_language(html.page_language(F.col("html"))).alias("lang"))
 
 
-# Frequent words of each language.
-PROFILES = {"en": "the of and to in is that for it with", "fr": "le la les des et en du que une dans", "de": "der die das und ist nicht mit von ein den", "es": "el los las que por con una del se para"}
-_PROFILE = ", ".join(f"('{c}', '{w}')" for c, ws in PROFILES.items() for w in ws.split())
+_PROFILE = ", ".join(f"('{c}', '{w}')" for c, ws in language.WORDS.items() for w in ws.split())
+_LETTERS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, {f"length(lower(text)) - length(regexp_replace(lower(text), '[{language.LETTERS[c]}]', '', 'g'))" if language.LETTERS[c] else '0'} AS n FROM documents" for c in language.SUPPORTED)
 _LANG = f"""prof AS (SELECT * FROM (VALUES {_PROFILE}) AS x(code, word)),
-hits AS (SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) JOIN prof USING (word) GROUP BY ALL),
-best AS (SELECT doc_id, code AS guess, round(n / CAST(total AS DOUBLE), 3) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS r FROM hits) WHERE r = 1),
-det AS (SELECT d.doc_id, d.lang, CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 20 THEN guess END AS guess, CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 20 THEN confidence END AS confidence FROM documents d LEFT JOIN best USING (doc_id))"""
+found AS (SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) JOIN prof USING (word) GROUP BY ALL UNION ALL {_LETTERS}),
+hits AS (SELECT doc_id, code, sum(n) AS n FROM found GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(code, (-n, code)) AS guess, max(n) AS top FROM hits GROUP BY doc_id),
+share AS (SELECT doc_id, guess, round(1 / sum(exp(n - top)), 3) AS confidence FROM hits JOIN best USING (doc_id) GROUP BY doc_id, guess),
+det AS (SELECT d.doc_id, d.lang, text, CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 20 THEN guess END AS guess, CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 20 THEN confidence ELSE 0.0 END AS confidence FROM documents d JOIN share USING (doc_id))"""
 
 
 def _detected(t: Tables):
-    """Language by shares of frequent words; texts of fewer than 20 letters stay open."""
-    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w)
-    count = lambda code: F.size(F.filter(words, lambda w: w.isin(PROFILES[code].split())))
-    rows = t.documents.select("doc_id", "lang", (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= 20).alias("long"), *(count(c).alias(c) for c in PROFILES))
-    order = sorted(PROFILES)
-    best = F.greatest(*order)
-    guess = F.coalesce(*(F.when(F.col(c) == best, c) for c in order))
-    known = F.col("long") & (best > 0)
-    return rows.select("doc_id", "lang", F.when(known, guess).alias("guess"), F.when(known, F.round(best / sum((F.col(c) for c in order), F.lit(0)), 3)).alias("confidence"))
-
-
-@query(f"WITH {_LANG} SELECT * FROM det")
+    return t.documents.select("doc_id", "lang", "text", language.classify(F.col("text")).alias("c")).select("doc_id", "lang", "text", F.col("c.language").alias("guess"), F.col("c.confidence").alias("confidence"))
+
+
+@query(f"WITH {_LANG} SELECT doc_id, lang, guess, confidence FROM det")
 def lang_detect(t: Tables):
-    return _detected(t)
+    return _detected(t).drop("text")
 
 
 @query(f"WITH {_LANG} SELECT lang, guess, count(*) AS n FROM det GROUP BY ALL")
@@ -155,13 +148,30 @@ def lang_confusion(t: Tables):
     return _detected(t).groupBy("lang", "guess").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_LANG}, m AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'en' ELSE lang END AS meta FROM det)
+_META = "CASE WHEN source = 'src1' THEN NULL WHEN source = 'src2' THEN 'EN_us' WHEN source = 'src3' THEN 'xx' ELSE lang END"
+
+
+@query(f"""WITH {_LANG}, m AS (SELECT det.*, {_META} AS stated, CASE WHEN source = 'src2' THEN 'en' WHEN source NOT IN ('src1', 'src3') THEN det.lang END AS meta FROM det JOIN (SELECT doc_id, source FROM documents) USING (doc_id))
 SELECT doc_id, CASE WHEN meta IS NOT NULL AND (guess IS NULL OR guess = meta OR confidence < 0.95) THEN meta ELSE guess END AS language,
-CASE WHEN meta IS NOT NULL AND (guess IS NULL OR guess = meta OR confidence < 0.95) THEN CASE WHEN guess = meta THEN 1.0 WHEN guess IS NULL THEN 0.9 ELSE round(1 - confidence, 3) END WHEN guess IS NOT NULL THEN confidence ELSE 0.0 END AS confidence,
-CASE WHEN meta IS NOT NULL AND (guess IS NULL OR guess = meta OR confidence < 0.95) THEN 'metadata' WHEN guess IS NOT NULL THEN 'text' ELSE 'none' END AS method FROM m""")
+CASE WHEN meta IS NOT NULL AND (guess IS NULL OR guess = meta OR confidence < 0.95) THEN CASE WHEN guess = meta THEN 1.0 WHEN guess IS NULL THEN 0.9 ELSE round(1 - confidence, 3) END ELSE confidence END AS confidence,
+CASE WHEN meta IS NOT NULL AND (guess IS NULL OR guess = meta OR confidence < 0.95) THEN 'metadata' WHEN guess IS NOT NULL THEN 'text' ELSE 'none' END AS method, stated FROM m""")
 def lang_arbitration(t: Tables):
-    meta = F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, "en").otherwise(F.col("lang"))
-    rows = _detected(t).withColumn("meta", meta)
-    trust = F.col("meta").isNotNull() & (F.col("guess").isNull() | (F.col("guess") == F.col("meta")) | (F.col("confidence") < 0.95))
-    score = F.when(F.col("guess") == F.col("meta"), 1.0).when(F.col("guess").isNull(), 0.9).otherwise(F.round(1 - F.col("confidence"), 3))
-    return rows.select("doc_id", F.when(trust, F.col("meta")).otherwise(F.col("guess")).alias("language"), F.when(trust, score).when(F.col("guess").isNotNull(), F.col("confidence")).otherwise(0.0).alias("confidence"), F.when(trust, "metadata").when(F.col("guess").isNotNull(), "text").otherwise("none").alias("method"))
+    """What documents state of their language, by source: nothing, English, an unknown code, or the truth."""
+    stated = F.when(F.col("source") == "src1", None).when(F.col("source") == "src2", "EN_us").when(F.col("source") == "src3", "xx").otherwise(F.col("lang"))
+    rows = t.documents.select("doc_id", language.detect(stated, F.col("text")).alias("d"))
+    return rows.select("doc_id", "d.language", "d.confidence", "d.method", F.col("d.metadata").alias("stated"))
+
+
+@query(f"WITH {_LANG}, h AS (SELECT doc_id, coalesce(sum(n) FILTER (code = 'fr'), 0) AS fr, coalesce(sum(n) FILTER (code = 'en'), 0) AS en FROM hits GROUP BY doc_id) SELECT doc_id, CASE WHEN fr > en THEN 'fr' WHEN en > fr THEN 'en' ELSE 'fr' END AS request, CASE WHEN fr > en THEN 'fr' ELSE 'en' END AS question, CASE WHEN guess = 'fr' THEN 'fr' ELSE 'en' END AS own, CASE WHEN guess = 'fr' THEN 'en' ELSE 'fr' END AS other FROM h JOIN det USING (doc_id)")
+def request_languages(t: Tables):
+    text = F.col("text")
+    own = language.query_language(text)
+    return t.documents.select("doc_id", language.request_language(text).alias("request"), language.question_language(text).alias("question"), own.alias("own"), language.other_language(own).alias("other"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, page, trim(regexp_replace(string_agg(text, chr(10) ORDER BY pos), '\\s+', ' ', 'g')) AS text FROM lines GROUP BY doc_id, page), r AS (SELECT *, row_number() OVER w AS i, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page))
+SELECT doc_id, md5(left(string_agg(text, ' ' ORDER BY page), 5000)) AS digest FROM r WHERE i <= 3 AND ahead < 5000 GROUP BY doc_id""")
+def text_samples(t: Tables):
+    """Samples of documents whose pages are 40 lines each."""
+    pages = _lines(t).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    return language.text_sample(pages).select("doc_id", F.md5("sample").alias("digest"))
