@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from .wordhash import slices, utf8
 
 SEQUENCE, END_ID, GRAIN = 4096, 2, 16
 DIMENSIONS, AXIS_BITS = 3, 10
-#: Distinct words whose ids a worker keeps (about 100 MB), and the greatest length of one; longer words are encoded each
+#: Distinct words whose ids a worker keeps (about 250 MB), and the greatest length of one; longer words are encoded each
 #: time.
-CACHED_WORDS, CACHED_LENGTH = 480_000, 40
+CACHED_WORDS, CACHED_LENGTH = 1_000_000, 40
 #: Tokens of a range of the curve, about, and the most ranges; with more tokens than that allows, ranges are longer.
 RANGE_TOKENS, MOST_RANGES = 1 << 20, 20_000
 
@@ -45,6 +46,7 @@ def _tokenizer(path: str):
 
 #: Words that need no Unicode normalisation, of characters whose lower case and class are beyond doubt.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_id = attrgetter("id")
 _LAYOUT = [struct.Struct(f"<{n}I") for n in range(24)]
 #: Marks that are a piece of their own after a word.
 _STOPS = {b".", b",", b";", b":", b"!", b"?", b")"}
@@ -74,7 +76,7 @@ class WordIds:
         got = self.pieces.get(piece)
         if got is None:
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
+            ids = [*map(_id, self.model.tokenize(letters))]
             got = _LAYOUT[len(ids)].pack(*ids) if len(ids) < len(_LAYOUT) else np.array(ids, "<u4").tobytes()
             if len(piece) <= CACHED_LENGTH:
                 if len(self.pieces) >= CACHED_WORDS // 2:
