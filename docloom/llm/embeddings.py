@@ -28,7 +28,7 @@ from .scratch import forget, lean, stash
 
 PROJECTIONS, STEP = 32, 8
 #: Half a window, in standard deviations of the projected difference of a pair at the threshold.
-HALF_WINDOW = 2.0
+HALF_WINDOW = 4.0
 #: The same for the sorted line that bounds a query's partners: a pair at the threshold falls outside once in 25 million.
 REACH = 5.5
 #: Most probability of losing a pair at the threshold, by the routes and by the counts.
