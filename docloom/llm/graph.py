@@ -25,16 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of any ordered type -> rows (node, root): root is the least node of its component.
 
     Only nodes with an edge to another node come back, each once; self-loops, repeated edges and both directions are
-    fine. Every round is a written table, so a lost executor costs one round.
+    fine. edges should be a written table. Every round is a written table, so a lost executor costs one round; rounds
+    end when all edges point at roots, each node at one.
     """
-    now = stash(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    mark = None
+    now, own = edges.where("u <> v").select("u", "v"), None
     while True:
         after = stash(_small_star(_large_star(now)), "edges")
-        forget(now)
-        now = after
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if seen == mark:
-            break
-        mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if own is not None:
+            forget(own)
+        now = own = after
+        nodes = now.groupBy("u").agg(F.count("*").alias("n"))
+        if now.select(F.col("v").alias("u")).join(nodes, "u", "left_semi").isEmpty() and nodes.where("n > 1").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -298,13 +298,13 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     stars = shared.where("cls <> first").select(F.col("first").alias("u"), F.col("cls").alias("v")).distinct()
     links = stash(_linked(stars, sets, num, den), "links")
-    roots = stash(components(links), "roots")
+    roots = components(links)
 
     def labels(table: DataFrame, roots: DataFrame) -> DataFrame:
         return table.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
 
     open_ = labels(shared, roots).groupBy("route").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("route", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    held = shared.select("route", "cls").join(stash(open_, "open"), "route").join(profiles.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "cls")
+    held = shared.select("route", "cls").join(open_, "route").join(profiles.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "cls")
     dealt = held.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = ["route", "one", "two"]
     dealt = stash(dealt.select("route", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cls", "n", "bitmap"), "dealt")
@@ -313,17 +313,17 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
         rows = labels(dealt, roots).select(*task, "block", "cls", "n", "bitmap", "label").repartition(*task).sortWithinPartitions(*task)
         tries = stash(rows.mapInArrow(lean(_tree_pairs(num, den, seed)), "route long, one int, two int, u binary, v binary, more boolean"), "tries")
         if tries.isEmpty():
+            forget(tries)
             break
         before, links = links, stash(links.unionByName(_linked(tries.select("u", "v").distinct(), sets, num, den)), "links")
         forget(before)
-        before, roots = roots, stash(components(links), "roots")
-        forget(before)
+        roots = components(links)
         again = tries.where("more").select(*task).distinct()
         before, dealt = dealt, stash(dealt.join(again, task, "left_semi"), "dealt")
-        forget(before)
-    final = roots
+        forget(before, tries)
+    forget(firsts, shared, sets, links, dealt)
 
-    of_class = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    of_class = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
     of_class = of_class.join(least, "root").select("cls", "component")
     thin = profiles.select("id", "n", "cls")
