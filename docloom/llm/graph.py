@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, own = edges.where("u <> v").select("u", "v"), None
     while True:
-        after = stash(_small_star(_large_star(now)), "edges")
+        after = stash(_small_star(_large_star(now)), "edges", thin=True)
         if own is not None:
             forget(own)
         now = own = after

@@ -285,7 +285,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     classes = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("bitmap").alias("bitmap"))
     routes = classes.select("cls", "least", F.explode("bands").alias("route"))
     # routes with two classes or more, each class with the route's least one
-    firsts = stash(routes.groupBy("route").agg(F.min("cls").alias("first"), F.count("*").alias("size")).where("size > 1"), "firsts")
+    firsts = routes.groupBy("route").agg(F.min("cls").alias("first"), F.count("*").alias("size")).where("size > 1")
     shared = stash(routes.join(firsts, "route"), "routes")
     wanted = np.zeros(FILTER_BITS // 8, np.uint8)
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int")
@@ -321,7 +321,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
         again = tries.where("more").select(*task).distinct()
         before, dealt = dealt, stash(dealt.join(again, task, "left_semi"), "dealt")
         forget(before, tries)
-    forget(firsts, shared, sets, links, dealt)
+    forget(shared, sets, links, dealt)
 
     of_class = profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
