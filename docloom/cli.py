@@ -44,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     dump = sub.add_parser("extract", help="counts of the blocks of web pages")
     dump.add_argument("table")
     dump.add_argument("--pages", type=int, help="only so many pages of each document")
+    copy = sub.add_parser("copy", help="add an index's vectors to another root")
+    copy.add_argument("target")
     score = sub.add_parser("evaluate", help="hit rates of a question set in JSON lines")
     score.add_argument("questions")
     return top
@@ -74,6 +76,8 @@ def main(arguments: list[str] | None = None, engine: Engine | None = None) -> in
         _show(engine.ask(_asked(spark, given.texts, "question", "request_id")).orderBy("request_id").select("request_id", "answerable", "answer", "refusal"), given.form)
     elif given.command == "run":
         _show(engine.run(_asked(spark, given.texts, "request", "request_id")).orderBy("request_id"), given.form)
+    elif given.command == "copy":
+        print(engine.vectors.copy_to(given.target).count())
     elif given.command == "extract":
         found = html.blocks(spark.read.parquet(given.table)).withColumn("font", F.lit(""))
         found = corpus.keep_pages(found, given.pages) if given.pages is not None else found

@@ -99,3 +99,9 @@ def text_sample(pages: DataFrame) -> DataFrame:
     read = rows.withColumn("ahead", ahead).where((F.col("i") <= SAMPLE_PAGES) & (F.col("ahead") < SAMPLE_CHARS))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "plain"))), lambda p: p["plain"]), " ")
     return read.groupBy("doc_id").agg(F.substring(joined, 1, SAMPLE_CHARS).alias("sample"))
+
+
+def document_languages(pages: DataFrame, stated: DataFrame) -> DataFrame:
+    """(doc_id, language, confidence, method, metadata) of documents: pages (doc_id, page, text), stated (doc_id, stated)."""
+    rows = stated.join(text_sample(pages), "doc_id", "left")
+    return rows.select("doc_id", detect(F.col("stated"), F.col("sample")).alias("d")).select("doc_id", "d.*")

@@ -103,6 +103,27 @@ def check_plans(steps: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def translation_step(files: DataFrame) -> DataFrame:
+    """Where a translation goes next: files (refused, needs_confirmation, confirmed, source, target, done, failed) with
+    `step` and `message`. A refusal, an unknown or equal language ends it; long files wait for a yes; then it is rebuilt
+    and checked.
+    """
+    same = F.col("source") == F.col("target")
+    step = (
+        F.when(F.col("refused").isNotNull(), "refused").when(F.col("source").isNull() | same, "refused").when(F.col("needs_confirmation") & F.col("confirmed").isNull(), "needs_confirmation")
+        .when(F.col("needs_confirmation") & ~F.col("confirmed"), "cancelled").when(F.col("failed").isNotNull(), "failed").when(F.col("done"), "verify").otherwise("rebuild")
+    )
+    why = F.when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("source").isNull(), "the language of the document is not known").when(same, "the document is in that language already").when(F.col("failed").isNotNull(), F.col("failed"))
+    return files.withColumn("step", step).withColumn("message", F.when(F.col("step").isin("refused", "failed"), why))
+
+
+def tool_choices(calls: DataFrame) -> DataFrame:
+    """calls (tool, expected) -> one row: how many cases chose the expected tool, and those that did not."""
+    right = F.coalesce(F.col("tool") == F.col("expected"), F.lit(False))
+    wrong = F.when(~right, F.concat_ws(" for ", F.coalesce("tool", F.lit("none")), "expected"))
+    return calls.agg(F.count_if(right).alias("right"), F.count("*").alias("total"), F.array_sort(F.collect_list(wrong)).alias("wrong"))
+
+
 def signatures(plans: DataFrame) -> DataFrame:
     """(request_id, signature): what each plan does, as "summarize(a) > compare(b,c)"."""
     file = F.element_at(F.split("path", "/"), -1)

@@ -119,3 +119,27 @@ def usage(repaired: DataFrame, local: DataFrame) -> DataFrame:
     of = lambda how: F.count_if(F.col("repair") == how)
     counts = repaired.agg(of("restored").alias("tags_restored"), of("asked").alias("tag_repairs"), of("dropped").alias("tag_fallbacks"))
     return counts.crossJoin(local.agg(F.count("*").alias("kept_locally")))  # one row each
+
+
+def translate_blocks(blocks: DataFrame, glossary: DataFrame, ask: Callable[[DataFrame], DataFrame], source: str, target: str, by: str = "page", order: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(translations, usage) of blocks (by, order, text): what needs no model at once, the rest in batches of a group,
+    skipped blocks asked for again, broken style tags mended."""
+    key = F.struct(by, order)
+    done, todo = kept_locally(blocks.select(by, order, "text"), glossary)
+    cut = written(batches(todo, by, order).withColumn("batch_id", F.concat_ws("/", F.col(by).cast("string"), "batch")).withColumnRenamed(order, "pos"), "batches")
+    terms = written(relevant_terms(cut.select(F.struct("batch_id", "pos").alias("id"), "text"), glossary).select("id.batch_id", "id.pos", "source", "target"), "terms")
+    got = written(translate_all(cut, ask, terms.select("batch_id", "source", "target").distinct(), source, target), "translations")
+
+    def again(broken: DataFrame) -> DataFrame:
+        rows = broken.select(F.col("id.batch_id").alias("batch_id"), "id.pos", "text").groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("items"))
+        prompts = rows.withColumn("texts", F.transform("items", lambda i: i["text"])).withColumn("terms", F.create_map().cast("map<string,string>"))
+        said = Msg.translation_messages(prompts, F.lit(source), F.lit(target)).join(prompts.select("batch_id", "texts"), "batch_id")
+        last = F.element_at("messages", -1)
+        noted = F.concat(F.slice("messages", 1, F.size("messages") - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["content"], Msg.repair_note(F.col("texts"))).alias("content"))))
+        read = rows.join(ask(said.select("batch_id", noted.alias("messages"))), "batch_id").select("batch_id", "items", F.explode(R.translations(F.col("reply"), F.size("items"))["items"]).alias("t"))
+        return read.select(F.struct("batch_id", F.get("items", F.col("t.id"))["pos"].alias("pos")).alias("id"), F.col("t.text").alias("retry")).dropDuplicates(["id"])
+
+    fixed = written(repair(got.select(F.struct("batch_id", "pos").alias("id"), "text", "translation"), terms.select(F.struct("batch_id", "pos").alias("id"), "source", "target"), again), "repaired")
+    back = cut.select(F.struct("batch_id", "pos").alias("id"), by, F.col("pos").alias(order)).join(fixed, "id")
+    columns = [by, order, "text", "translation"]
+    return done.select(columns).unionByName(back.select(columns)), usage(fixed, done.withColumn("key", key))

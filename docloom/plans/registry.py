@@ -35,16 +35,3 @@ def query(oracle: str | None = None):
         return f
 
     return register
-
-
-def sql(name: str, text: str, oracle: str | None = None) -> None:
-    """Registers a query written in SQL over the tables' names; oracle: DuckDB's form where dialects differ."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if t in text:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
-
-    QUERIES[name] = run
-    ORACLES[name] = oracle or text

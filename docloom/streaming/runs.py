@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.retrieval import missing
+from ..sources import files
+from ..sources.logs import Trace
 
 
 def stamped(events: DataFrame) -> DataFrame:
@@ -33,17 +36,37 @@ def index_new(stream: DataFrame, target: str, checkpoint: str, key: str = "doc_i
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).select(key)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-                raise
-            known = batch.select(key).limit(0)
+        known = spark.read.schema(batch.schema).parquet(target).select(key) if files.exists(spark, target) else batch.select(key).limit(0)
         missing(batch.dropDuplicates([key]), known, key).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def live_state(updates: DataFrame, thread: str = "user_id", key: str = "event_type", value: str = "value", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The last value of every key of a thread; in a stream in complete or update mode."""
+    return updates.groupBy(thread, key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+class Progress(StreamingQueryListener):
+    """Notes the progress and the end of streams in a trace."""
+
+    def __init__(self, trace: Trace):
+        self.trace = trace
+
+    def onQueryStarted(self, event) -> None:
+        self.trace.note(str(event.runId), "stream", "started")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.trace.note(str(p.runId), "stream", "progress", input=str(p.batchId), score=float(p.numInputRows))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.trace.note(str(event.runId), "stream", "ended", level="ERROR" if event.exception else None, output=event.exception)
+
+
 # What each event does to a run in each state.
 MOVES = {("queued", "view"): "running", ("running", "click"): "needs_confirmation", ("needs_confirmation", "signup"): "running", ("running", "purchase"): "done", ("running", "error"): "failed", ("queued", "error"): "failed"}
 

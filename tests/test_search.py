@@ -31,7 +31,7 @@ def test_modes(spark, corpus):
     asked = spark.createDataFrame([(1, "water dams"), (2, "fires")], "query_id long, text string")
     own = lambda df: embed(df, HashEmbedder, "text", queries=True)
     lex = search.search(passages, asked, index, mode="bm25")
-    assert hits(lex)[:2] == [(1, "a:p2:1", None, 1), (1, "b:p9:3", None, 2)] or hits(lex)[0] == (1, "a:p2:1", None, 1)
+    assert hits(lex)[0] == (1, "a:p2:1", None, 1)
     assert {h[1] for h in hits(lex) if h[0] == 2} == {"b:p1:2", "b:p9:3"} and lex.first()["title"].startswith("Report")
     den = search.search(passages, asked, vectors=table.rows(), embed=own, mode="dense")
     assert hits(den)[0] == (1, "a:p2:1", 1, None)

@@ -34,3 +34,19 @@ def test_index_is_incremental(spark, tmp_path):
     runs.index_new(stream, str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "index"))
     assert got.count() == docs.count() == got.select(F.countDistinct("doc_id")).first()[0]
+
+
+def test_live_state_and_progress(spark, tmp_path):
+    from docloom.sources.logs import Trace
+
+    events, stream = _stream(spark, tmp_path)
+    listener = runs.Progress(Trace(spark, str(tmp_path / "trace")))
+    spark.streams.addListener(listener)
+    try:
+        runs.live_state(stream).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert {tuple(r) for r in spark.table("live").collect()} == {tuple(r) for r in runs.live_state(events).collect()}
+    listener.trace.flush()
+    assert {"started", "progress", "ended"} >= {r["name"] for r in listener.trace.rows().collect()} >= {"started"}
