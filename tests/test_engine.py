@@ -85,3 +85,39 @@ def test_evaluation_and_command_line(spark, engine, capsys, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "a", "question": "dry wells", "type": "t", "expected": [{"doc_id": "1", "pages": [1]}]}\n')
     cli.main(["evaluate", f"{tmp_path}/q.jsonl"], other)
     assert '"hit1":1.0' in capsys.readouterr().out
+
+
+def test_service(engine):
+    import threading
+    import time
+    import urllib.error
+    import urllib.request
+
+    from docloom.service import serve
+
+    server = serve(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}{path}", None if body is None else json.dumps(body).encode())
+        try:
+            with urllib.request.urlopen(request, timeout=120) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    try:
+        assert call("/health") == (200, {"status": "ok"}) and [d["doc_id"] for d in call("/v1/documents")[1]] == ["f", "w"]
+        status, hits = call("/v1/search", {"text": "dams closed", "mode": "bm25", "doc_ids": ["w"]})
+        assert status == 200 and hits[0]["doc_id"] == "w" and call("/v1/ask", {"question": "river levels"})[1]["answerable"]
+        assert call("/v1/ask", {"question": "x"})[0] == call("/v1/search", {"text": "dams", "doc_ids": ["nope"]})[0] == call("/v1/compare", {"doc_ids": ["w"], "topic": "hills"})[0] == 422
+        assert [p["kept"] for p in call("/v1/summary", {"doc_id": "w", "lang": "en"})[1]] == [True, False] and call("/v1/nothing", {})[0] == call("/v1/agent/none")[0] == 404
+        status, job = call("/v1/agent", {"request": "hello there"})
+        for _ in range(240):
+            state = call(f"/v1/agent/{job['id']}")[1]
+            if state["status"] in ("done", "failed"):
+                break
+            time.sleep(0.5)
+        assert status == 202 and state["status"] == "done" and "Forest report" in state["result"]
+    finally:
+        server.shutdown()
