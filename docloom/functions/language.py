@@ -7,6 +7,8 @@ of the best language among all (a soft maximum) is the confidence.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +28,40 @@ LEAST_LETTERS, OVERRIDE, METADATA_ONLY = 20, 0.95, 0.9
 SAMPLE_PAGES, SAMPLE_CHARS = 3, 5000
 
 
-def hits(text: Column) -> dict[str, Column]:
-    """Words and letters of each language in a text."""
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hits(text: Column) -> Column:
+    """Words and letters of each language in a text, as a struct with a field per language."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
-    count = lambda code: F.size(F.filter(words, lambda w: w.isin(*WORDS[code].split())))
-    return {c: count(c) + (F.regexp_count(low, F.lit(f"[{LETTERS[c]}]")) if LETTERS[c] else F.lit(0)) for c in SUPPORTED}
+
+    def counts(x: Column) -> Column:
+        words = lambda c: F.size(F.filter(x["words"], lambda w: w.isin(*WORDS[c].split())))
+        letters = lambda c: F.regexp_count(x["low"], F.lit(f"[{LETTERS[c]}]")) if LETTERS[c] else F.lit(0)
+        return F.struct(*((words(c) + letters(c)).alias(c) for c in SUPPORTED))
+
+    return once(F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)).alias("words")), counts)
 
 
 def classify(text: Column) -> Column:
     """struct(language, confidence); null and 0 for a text of too few letters. Ties go by the language's code."""
-    found = hits(text)
-    best = F.greatest(*found.values())
-    language = F.coalesce(*(F.when(found[c] == best, c) for c in SUPPORTED))
-    share = 1 / sum((F.exp(LOG_RATIO * (found[c] - best)) for c in SUPPORTED), F.lit(0.0))
     enough = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", "")) >= LEAST_LETTERS
-    return F.struct(F.when(enough, language).alias("language"), F.when(enough, F.round(share, 3)).otherwise(0.0).alias("confidence"))
+
+    def read(x: Column) -> Column:
+        found = {c: x["hits"][c] for c in SUPPORTED}
+        best = F.greatest(*found.values())
+        language = F.coalesce(*(F.when(found[c] == best, c) for c in SUPPORTED))
+        share = 1 / sum((F.exp(LOG_RATIO * (found[c] - best)) for c in SUPPORTED), F.lit(0.0))
+        return F.struct(F.when(x["enough"], language).alias("language"), F.when(x["enough"], F.round(share, 3)).otherwise(0.0).alias("confidence"))
+
+    return once(F.struct(hits(text).alias("hits"), enough.alias("enough")), read)
 
 
 def french_or_english(text: Column, default: str) -> Column:
     """The likelier of the two, however short the text; the default where they tie."""
-    found = hits(text)
-    return F.when(found["fr"] > found["en"], "fr").when(found["en"] > found["fr"], "en").otherwise(default)
+    return once(hits(text), lambda h: F.when(h["fr"] > h["en"], "fr").when(h["en"] > h["fr"], "en").otherwise(default))
 
 
 def request_language(text: Column) -> Column:
@@ -78,14 +92,17 @@ def detect(stated: Column, sample: Column) -> Column:
     The statement holds unless the text is sure of another language: 1 where both agree, less where the text says
     nothing or leans elsewhere.
     """
-    meta, read = metadata_language(stated), classify(sample)
-    text, sure = read["language"], read["confidence"]
-    trust = meta.isNotNull() & (text.isNull() | (text == meta) | (sure < OVERRIDE))
-    score = F.when(text == meta, 1.0).when(text.isNull(), METADATA_ONLY).otherwise(F.round(1 - sure, 3))
-    return F.struct(
-        F.when(trust, meta).otherwise(text).alias("language"), F.when(trust, score).otherwise(F.coalesce(sure, F.lit(0.0))).alias("confidence"),
-        F.when(trust, "metadata").when(text.isNotNull(), "text").otherwise("none").alias("method"), stated.alias("metadata"),
-    )
+
+    def decide(x: Column) -> Column:
+        meta, text, sure = x["meta"], x["read"]["language"], x["read"]["confidence"]
+        trust = meta.isNotNull() & (text.isNull() | (text == meta) | (sure < OVERRIDE))
+        score = F.when(text == meta, 1.0).when(text.isNull(), METADATA_ONLY).otherwise(F.round(1 - sure, 3))
+        return F.struct(
+            F.when(trust, meta).otherwise(text).alias("language"), F.when(trust, score).otherwise(F.coalesce(sure, F.lit(0.0))).alias("confidence"),
+            F.when(trust, "metadata").when(text.isNotNull(), "text").otherwise("none").alias("method"), x["stated"].alias("metadata"),
+        )
+
+    return once(F.struct(metadata_language(stated).alias("meta"), classify(sample).alias("read"), stated.alias("stated")), decide)
 
 
 def text_sample(pages: DataFrame) -> DataFrame:
