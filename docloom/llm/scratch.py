@@ -70,10 +70,12 @@ def stash(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(*stashed: DataFrame) -> None:
     """Deletes the files of stashes that no later plan reads."""
     for df in stashed:
-        path = df._docloom_path
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        delete(df.sparkSession, df._docloom_path)
