@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, table
-from . import chat, embeddings, lines, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc
+from . import chat, embeddings, hard_negatives, lines, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc, whitening
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(prepare(spark), sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % hard_negatives.MISLABEL_STEP == 0, (F.col("label") + 1) % hard_negatives.LABELS).otherwise(F.col("label"))
+    return hard_negatives.mine(table(prepare(spark), sf_dir, "embeddings"), label=label)
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_lines(table(prepare(spark), sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_media, op5_embeddings, op6_packing, op7_substrings, op8_mixing, op9_chat, op10_quality, op13_lines)}
-ORACLES = {"op5_embeddings": embeddings.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op13_lines": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_media, op5_embeddings, op6_packing, op7_substrings, op8_mixing, op9_chat, op10_quality, op11_whitening, op12_hard_negatives, op13_lines)}
+ORACLES = {"op5_embeddings": embeddings.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_lines": lines.ORACLE}
