@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from . import providers
 from .config import Settings
 from .functions import language
-from .operators import chunk, evaluate, grounding, messages, planning, replies, search
+from .operators import chunk, dense, evaluate, grounding, lexical, messages, planning, replies, search
 from .operators.search import MODES
 from .sources import html
-from .sources.vectors import VectorTable
+from .sources.snapshots import Change, Snapshots
+from .sources.vectors import VectorTable, point_id
 from .storage import written
 
 Model = Callable[[DataFrame], DataFrame]
@@ -30,46 +31,89 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, model: Model | None = None, judge: Model | None = None, embedder: Callable[[], providers.Embedder] | None = None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
+        self.snapshots = Snapshots(spark, root)
         own = self.settings
         self.model = model or (lambda prompts: providers.replies(prompts, lambda: providers.Chat(own)))
         self.judge_model = judge or self.model
         self.embedder = embedder or (lambda: providers.build_embedder(own))
 
+    @cached_property
+    def version(self) -> int | None:
+        """The version of the folder that is open; passages, index and vectors are all of it. refresh opens the latest."""
+        return self.snapshots.latest()
+
+    def refresh(self) -> None:
+        for name in ("version", "passages", "catalogue", "lexical", "cells"):
+            self.__dict__.pop(name, None)
+
     @cached_property
     def passages(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/passages")
+        return self.snapshots.read("passages", self.version)
 
     @cached_property
     def catalogue(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/catalogue")
+        return self.snapshots.read("catalogue", self.version)
 
     @cached_property
-    def lexical(self) -> search.Index:
-        return search.Index(self.spark, f"{self.root}/lexical")
+    def lexical(self) -> lexical.Index:
+        return lexical.Index(self.spark, self.root, self.version)
 
-    @cached_property
-    def vectors(self) -> VectorTable:
+    def vectors_at(self, version: int | None) -> VectorTable:
         model = self.embedder()
-        return VectorTable(self.spark, f"{self.root}/vectors", model.name, model.dim)
+        return VectorTable(self.spark, self.root, model.name, model.dim, version)
+
+    @property
+    def vectors(self) -> VectorTable:
+        return self.vectors_at(self.version)
 
     # Index ------------------------------------------------------------------------------------------------------------
 
     def build(self, blocks: DataFrame, catalogue: DataFrame) -> None:
-        """Writes passages of blocks, their lexical index, and vectors of those that have none yet.
+        """Passages of blocks, their lexical index, and vectors of those that have none yet, as one new version.
 
-        catalogue: doc_id, title, and org, year, lang, file, summary_pages where known.
+        catalogue: doc_id, title, and org, year, lang, file, summary_pages where known. If anything fails, the folder
+        stays as it was.
         """
+        catalogue = self._catalogue(catalogue)
+        with self.snapshots.change() as change:
+            change.replace("catalogue", catalogue)
+            change.replace("passages", self._passages(blocks, catalogue))
+            lexical.clear(change)
+            change.state["tables"].pop("cells", None)
+            change.facts.pop("centroids", None)
+            self._index(change, change.read("passages"))
+        self.refresh()
+
+    def add(self, blocks: DataFrame, catalogue: DataFrame) -> None:
+        """More documents, as one new version: their passages and one more segment of the index. Documents whose id is
+        known are left out."""
+        with self.snapshots.change() as change:
+            known = change.read("catalogue").select("doc_id")
+            catalogue = written(self._catalogue(catalogue).join(known, "doc_id", "left_anti"), "catalogue")
+            change.append("catalogue", catalogue)
+            folder = change.append("passages", self._passages(blocks.join(catalogue.select("doc_id"), "doc_id", "left_semi"), catalogue))
+            self._index(change, self.spark.read.schema(change.read("passages").schema).parquet(f"{self.root}/{folder}"))
+        self.refresh()
+
+    def _catalogue(self, catalogue: DataFrame) -> DataFrame:
         columns = {"org": "string", "year": "int", "lang": "string", "file": "string", "summary_pages": "array<int>"}
         for name, kind in columns.items():
             if name not in catalogue.columns:
                 catalogue = catalogue.withColumn(name, F.lit(None).cast(kind))
-        catalogue.select("doc_id", "title", *columns).write.mode("overwrite").parquet(f"{self.root}/catalogue")
-        s = self.settings
-        found = chunk.passages(blocks, s.chunk_chars, s.chunk_overlap).join(catalogue.select("doc_id", "title", "lang"), "doc_id", "left")
-        found = found.withColumn("embed_text", chunk.embed_text(F.col("title"), F.col("section"), F.col("text")))
-        found.write.mode("overwrite").parquet(f"{self.root}/passages")
-        search.Index.build(self.passages, f"{self.root}/lexical", text=F.col("embed_text"))
-        self.vectors.index(self.passages, lambda rows: providers.embed(rows, self.embedder, "embed_text"))
+        return catalogue.select("doc_id", "title", *columns)
+
+    def _passages(self, blocks: DataFrame, catalogue: DataFrame) -> DataFrame:
+        found = chunk.passages(blocks, self.settings.chunk_chars, self.settings.chunk_overlap).join(catalogue.select("doc_id", "title", "lang"), "doc_id", "left")
+        return found.withColumn("embed_text", chunk.embed_text(F.col("title"), F.col("section"), F.col("text")))
+
+    def _index(self, change: Change, passages: DataFrame) -> None:
+        lexical.add(change, passages, text=F.col("embed_text"))
+        lexical.merge_tiers(change)
+        table = self.vectors_at(None)
+        table.index(passages, lambda rows: providers.embed(rows, self.embedder, "embed_text"), change)
+        keyed = passages.select("passage_id", point_id(table.model, F.col("embed_text")).alias("point_id"))
+        stored = change.read(table.name).join(keyed.select("point_id", F.col("passage_id").alias("id")), "point_id")
+        dense.Cells.add_to(change, stored.select("id", "doc_id", "v"))
 
     def build_pages(self, pages: DataFrame) -> None:
         """The same for web pages (page_id, url, html)."""
@@ -78,10 +122,14 @@ class Engine:
 
     # Search and answers -----------------------------------------------------------------------------------------------
 
-    def search(self, queries: DataFrame, top_k: int | None = None, mode: str = "hybrid") -> DataFrame:
-        """Hits of (query_id, text[, doc_ids])."""
+    @cached_property
+    def cells(self) -> dense.Cells:
+        return dense.Cells(self.spark, self.root, self.version)
+
+    def search(self, queries: DataFrame, top_k: int | None = None, mode: str = "hybrid", exact: bool = True) -> DataFrame:
+        """Hits of (query_id, text[, doc_ids]). exact: all vectors are scored, else those of each query's nearest cells."""
         own = lambda rows: providers.embed(rows, self.embedder, "text", queries=True)
-        return search.search(self.passages, queries, self.lexical, self.vectors.rows(), own, mode, top_k or self.settings.top_k, self.settings.candidates)
+        return search.search(self.passages, queries, self.lexical, self.vectors.rows(), own, mode, top_k or self.settings.top_k, self.settings.candidates, None if exact else self.cells)
 
     def ask(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """Answers of (request_id, question): grounding.answers, with the reply's error. A refusal is an answer."""

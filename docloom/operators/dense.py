@@ -1,62 +1,223 @@
-"""Dense top-k of a stated query set: blocks of vectors against the query matrix, cut to each block's best first."""
+"""Dense top-k of a set of queries: blocks of vectors meet blocks of queries, each pair cut to its best at once.
+
+Vectors and queries become rows of up to BLOCK and ASKED each, and a join brings the blocks together that have to meet:
+every query block with every vector block in an exact scan, or, with an inverted file, the queries that probe a cell
+with the vectors of that cell. Neither side passes through the driver, and a task holds one pair of blocks at a time.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.snapshots import Change, Snapshots
 from .retrieval import hash_embedding, rank
 
-#: The query matrix is sent to every task; larger sets are asked in blocks of this many.
-QUERY_BLOCK = 4096
+BLOCK, ASKED = 1024, 256
+#: Vectors of the sample that cells are fitted on, most cells, and rounds of the fit.
+SAMPLE, MOST_CELLS, ROUNDS = 16384, 1024, 8
+#: Share of the true neighbours within the sample that the cells probed by default have to hold, and how many sampled
+#: queries and neighbours of each tell it.
+RECALL, TRIED, NEIGHBOURS = 0.95, 256, 10
+
+
+def matrix(values: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths, as doubles."""
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
-def _block(names: list, matrix: np.ndarray, allowed: list[set | None], k: int, same_ids: bool, types: list[pa.DataType]):
+def _best(k: int, same_ids: bool, types: list[pa.DataType]):
+    """Pairs of blocks (rows, asked) -> (query_id, id, score): of each pair, every query's k best and what ties with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            ids = batch.column("id").to_pylist()
-            scores = np.round(matrix @ np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column("v")]).astype(np.float64).T, 5)
-            if same_ids:
-                place = {q: n for n, q in enumerate(names)}
-                own = [(place[i], c) for c, i in enumerate(ids) if i in place]
-                scores[[o[0] for o in own], [o[1] for o in own]] = -np.inf
-            if any(a is not None for a in allowed):
-                docs = batch.column("doc_id").to_pylist()
-                for n, some in enumerate(allowed):
-                    if some is not None:
+            for at in range(batch.num_rows):
+                rows, asked = (batch.column(c).slice(at, 1).flatten() for c in ("rows", "asked"))
+                ids, names = rows.field("id"), asked.field("query_id")
+                scores = np.round(matrix(asked.field("v")) @ matrix(rows.field("v")).T, 5)
+                if same_ids:
+                    place = {q: n for n, q in enumerate(names.to_pylist())}
+                    own = [(place[i], c) for c, i in enumerate(ids.to_pylist()) if i in place]
+                    scores[[o[0] for o in own], [o[1] for o in own]] = -np.inf
+                docs = rows.field("doc_id").to_pylist()
+                for n, some in enumerate(asked.field("doc_ids").to_pylist()):
+                    if some:
+                        some = set(some)
                         scores[n, [d not in some for d in docs]] = -np.inf
-            # all that reach the k-th best score, ties too; the ranking outside decides among them
-            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(names), -np.inf)
-            q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-            yield pa.record_batch({"query_id": pa.array([names[n] for n in q.tolist()], types[0]), "id": pa.array([ids[n] for n in c.tolist()], types[1]), "score": pa.array(scores[q, c])})
+                # all that reach the k-th best score, ties too; the ranking outside decides among them
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                yield pa.record_batch({"query_id": names.take(pa.array(q)).cast(types[0]), "id": ids.take(pa.array(c)).cast(types[1]), "score": pa.array(scores[q, c])})
 
     return run
 
 
+def _blocked(rows: DataFrame, columns: list[str], size: int, name: str) -> DataFrame:
+    """Rows as (cell, name: array of up to about `size` structs), by salt within a cell that holds more."""
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    salted = rows.join(counts, "cell").withColumn("salt", F.pmod(F.xxhash64(*columns[:1]), "blocks"))
+    return salted.groupBy("cell", "salt").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("salt")
+
+
+class Cells:
+    """An inverted file: vectors by the nearest of a few centroids, blocks of each cell written together.
+
+    Centroids are fitted (k-means) on a bounded sample of vectors, every vector is indexed. How many cells a query probes
+    by default is measured on the sample too. The folder is versioned; one object reads one version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        self.spark, self.snapshots = spark, Snapshots(spark, path)
+        self.version = self.snapshots.latest() if version is None else version
+        facts = self.snapshots.describe(self.version)["facts"]
+        self.centroids, self.probes = np.array(facts["centroids"]), facts["probes"]
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, cells: int | None = None) -> Cells:
+        """A new inverted file of vectors (id, v[, doc_id]) of unit length and one dimension."""
+        base = Snapshots(vectors.sparkSession, path)
+        with base.change() as change:
+            change.state["tables"].pop("cells", None)
+            change.facts.pop("centroids", None)
+            cls.add_to(change, vectors, cells)
+        return cls(base.spark, path, change.result)
+
+    def add(self, vectors: DataFrame) -> Cells:
+        """More vectors, dealt to the cells that there are."""
+        with self.snapshots.change() as change:
+            self.add_to(change, vectors)
+        return Cells(self.spark, self.snapshots.root, change.result)
+
+    @staticmethod
+    def add_to(change: Change, vectors: DataFrame, cells: int | None = None) -> None:
+        """Adds vectors to a change's inverted file; the first ones fit its cells."""
+        if "centroids" not in change.facts:
+            sample = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()  # bounded
+            sampled = matrix(sample.column("v").combine_chunks())
+            centroids = fit_cells(sampled, cells or min(MOST_CELLS, max(1, int(sqrt(vectors.count())))))
+            change.facts.update(centroids=centroids.tolist(), probes=probes_for(sampled, centroids))
+        doc = "doc_id" if "doc_id" in vectors.columns else F.lit(None).cast("string").alias("doc_id")
+        rows = nearest(vectors.select("id", doc, "v"), np.array(change.facts["centroids"]), 1).select(F.col("near")[0].alias("cell"), "id", "doc_id", "v")
+        change.append("cells", _blocked(rows, ["id", "doc_id", "v"], BLOCK, "rows").repartitionByRange("cell").sortWithinPartitions("cell"))
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.snapshots.read("cells", self.version)
+
+    def topk(self, queries: DataFrame, k: int, probes: int | None = None, same_ids: bool = True) -> DataFrame:
+        """(query_id, id, score, rank) of queries (query_id, v[, doc_ids]) among the vectors of their nearest cells.
+
+        probes: cells of each query, those measured by default; as many as there are make the search exact.
+        """
+        probes = min(self.probes if probes is None else probes, len(self.centroids))
+        asked = nearest(_asked(queries), self.centroids, probes).select(F.explode("near").alias("cell"), "query_id", "v", "doc_ids")
+        blocks = _blocked(asked, ["query_id", "v", "doc_ids"], ASKED, "asked")
+        return _met(self.blocks, blocks, queries, k, same_ids)
+
+
+def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centroids of unit vectors; a centroid that loses all its vectors moves to the one that fits worst."""
+    rng = np.random.default_rng(17)
+    if not len(sample):
+        return np.zeros((1, 1))
+    centroids = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(ROUNDS):
+        scores = sample @ centroids.T
+        cell, fit = scores.argmax(axis=1), scores.max(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, cell, sample)
+        empty = np.flatnonzero(np.bincount(cell, minlength=len(centroids)) == 0)
+        sums[empty] = sample[np.argsort(fit, kind="stable")[: len(empty)]]
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
+    return centroids
+
+
+def probes_for(sample: np.ndarray, centroids: np.ndarray) -> int:
+    """Cells to probe so that RECALL of the nearest neighbours of sampled vectors, among the sample, are in them.
+
+    Among all vectors neighbours are nearer than among the sample, so more of them are found than is asked for here.
+    """
+    if len(sample) < 2:
+        return len(centroids)
+    asked = sample[:TRIED]
+    scores = asked @ sample.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    k = min(NEIGHBOURS, len(sample) - 1)
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    cell = (sample @ centroids.T).argmax(axis=1)
+    turn = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)  # [query, cell]: when it is probed
+    needed = np.sort(np.take_along_axis(turn, cell[best], axis=1).ravel())
+    return int(needed[ceil(RECALL * len(needed)) - 1]) + 1
+
+
+def nearest(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
+    """Rows (.., v) with `near`: the n cells whose centroid is nearest, the nearest first."""
+    n = min(n, len(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = matrix(batch.column("v")) @ centroids.T
+                near = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)
+                yield pa.record_batch([*batch.columns, pa.array(list(near))], names=[*batch.schema.names, "near"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, near array<int>")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    lists = "doc_ids" if "doc_ids" in queries.columns else F.lit(None).cast("array<string>").alias("doc_ids")
+    return queries.select("query_id", "v", lists)
+
+
+def _met(blocks: DataFrame, asked: DataFrame, queries: DataFrame, k: int, same_ids: bool) -> DataFrame:
+    kinds = [queries.schema["query_id"].dataType, blocks.schema["rows"].dataType.elementType["id"].dataType]
+    pairs = blocks.join(asked, "cell").select("rows", "asked")
+    found = pairs.mapInArrow(_best(k, same_ids, [to_arrow_type(t) for t in kinds]), f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double")
+    return rank(found, k=k)
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, same_ids: bool = True) -> DataFrame:
-    """vectors (id, v), queries (query_id, v) of unit length -> (query_id, id, score, rank).
+    """vectors (id, v), queries (query_id, v) of unit length -> (query_id, id, score, rank), by an exact scan.
 
     same_ids: queries are some of the vectors, and none is its own hit. With doc_id in vectors and doc_ids (array) in
     queries, a query with a list of documents sees only theirs, before the cut; a null or empty list is no filter.
     """
-    filtered = "doc_ids" in queries.columns
-    rows = queries.orderBy("query_id").toPandas()
-    kinds = [t.dataType.simpleString() for t in (queries.schema["query_id"], vectors.schema["id"])]
-    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(k, pa.string()) for k in kinds]
-    out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        part = rows.iloc[at : at + QUERY_BLOCK]
-        matrix = np.stack(part["v"].to_list()).astype(np.float64) if len(part) else np.empty((0, 1))
-        allowed = [set(d) if d is not None and len(d) else None for d in part["doc_ids"]] if filtered else [None] * len(part)
-        found = vectors.select("id", "v", *(["doc_id"] if filtered else [])).mapInArrow(_block(part["query_id"].tolist(), matrix, allowed, k, same_ids, types), f"query_id {kinds[0]}, id {kinds[1]}, score double")
-        out = found if out is None else out.unionByName(found)
-    return rank(out, k=k)
+    spark = vectors.sparkSession
+    tiles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    doc = "doc_id" if "doc_id" in vectors.columns and "doc_ids" in queries.columns else F.lit(None).cast("string").alias("doc_id")
+    rows = vectors.select("id", doc, "v")
+    kind = "array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema) + ">>"
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                whole = pa.StructArray.from_arrays([c if c.offset == 0 else pa.concat_arrays([c]) for c in part.columns], names=part.schema.names)
+                cell = hash_of(part.column(0)[0].as_py(), count) % tiles
+                count += 1
+                yield pa.record_batch({"cell": pa.array([cell], pa.int32()), "rows": pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)})
+
+    blocks = rows.mapInArrow(block, f"cell int, rows {kind}")
+    asked = _asked(queries)
+    parts = asked.agg(F.greatest(F.ceil(F.count("*") / ASKED), F.lit(1)).cast("int").alias("parts"))
+    salted = asked.crossJoin(F.broadcast(parts)).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts"))  # parts is one row
+    each = salted.groupBy("part").agg(F.collect_list(F.struct("query_id", "v", "doc_ids")).alias("asked")).select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("cell"), "asked")
+    return _met(blocks, each, queries, k, same_ids)
+
+
+def hash_of(first: object, count: int) -> int:
+    """A number that spreads the blocks of all tasks, the same whenever a task is run again."""
+    return zlib.crc32(f"{first}/{count}".encode())
 
 
 def text_vectors(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -1,89 +1,20 @@
-"""Search over passages: an index of written tables, three modes, hits joined to their passages.
-
-An index folder holds
-    postings  term, id, tf, dl: sorted by term, so that a query reads only the row groups of its terms
-    stats     one row: n passages (those without terms too) and their mean length
-    vectors   point_id, passage_id, doc_id, page, v
-"""
+"""Search over passages in three modes, hits joined to their passages."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..storage import shared_path
 from . import dense
-from .retrieval import B, K1, fuse, rank
+from .lexical import Index
+from .retrieval import fuse, rank
 
 MODES = ("hybrid", "dense", "bm25")
 
 
-def lexical_tables(passages: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, stats) of passages; texts are tokenised once, for postings and lengths alike."""
-    rows = passages.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    # an outer explode keeps passages without terms, which count as documents; their row has no term
-    post = rows.select("id", "dl", F.explode_outer("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return post, lengths_stats(post)
-
-
-def lengths_stats(post: DataFrame) -> DataFrame:
-    """n and avgdl from postings that hold every passage: lengths are sums of tf over terms."""
-    return post.groupBy("id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-
-
-class Index:
-    """An index below a folder; build writes it, the constructor opens it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    @classmethod
-    def build(cls, passages: DataFrame, path: str, id_column: str = "passage_id", text: Column | None = None) -> Index:
-        """Writes postings and stats of passages. text: what is indexed, the column `text` by default."""
-        index = cls(passages.sparkSession, path)
-        rows = passages.select(F.col(id_column).alias("id"), (F.col("text") if text is None else text).alias("text"))
-        post = lexical_tables(rows, "id", "text")[0]
-        post.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{index.path}/postings")
-        lengths_stats(index._read("postings")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/stats")
-        return index
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    @property
-    def postings(self) -> DataFrame:
-        return self._read("postings").where("term is not null")
-
-    @property
-    def stats(self) -> DataFrame:
-        return self._read("stats")
-
-    def lexical(self, queries: DataFrame, k: int = 20, among: DataFrame | None = None, doc_of: DataFrame | None = None) -> DataFrame:
-        """(query_id, id, score, rank) by BM25. queries: (query_id, text).
-
-        among (id): passages that may be hits. doc_of (id, doc_id): the document of each passage, for queries with a
-        column doc_ids; a null or empty list is no filter. Both filter after scoring, before the cut, so that idf stays
-        that of the whole corpus. Only postings of the queries' terms are read.
-        """
-        terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        wanted = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        rows = wanted.join(df, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = terms.join(rows.select("term", "id", weight.alias("w")), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 5).alias("score"))
-        if among is not None:
-            scored = scored.join(among, "id", "left_semi")
-        if doc_of is not None:
-            own = scored.join(queries.select("query_id", "doc_ids"), "query_id").join(doc_of, "id")
-            free = F.coalesce(F.size("doc_ids"), F.lit(0)) <= 0
-            scored = own.where(free | F.array_contains("doc_ids", F.col("doc_id"))).select("query_id", "id", "score")
-        return rank(scored, k=k)
-
-
 def bm25(passages: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text", query_column: str = "item_id", query_text: str = "text", among: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) over passages without an index of their own: one is written for this call."""
     index = Index.build(passages, shared_path(passages.sparkSession, "index"), id_column, F.col(text_column))
@@ -92,13 +23,14 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
 
 def search(
     passages: DataFrame, queries: DataFrame, index: Index | None = None, vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
-    mode: str = "hybrid", top_k: int = 5, candidates: int = 20,
+    mode: str = "hybrid", top_k: int = 5, candidates: int = 20, cells: dense.Cells | None = None,
 ) -> DataFrame:
     """Hits of all queries: query_id, rank, score, dense_rank, bm25_rank and the passage's columns.
 
     queries: (query_id, text) and, if wanted, doc_ids: a list of documents that a query is limited to. vectors:
     (passage_id, doc_id, v); embed gives queries their `v`. Vectors of passages that are no more are dropped after the
-    cut to the candidates; passages are joined to the hits that are left.
+    cut to the candidates; passages are joined to the hits that are left. cells: the inverted file of the vectors, of
+    which a query reads its nearest cells instead of all vectors.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -112,8 +44,8 @@ def search(
     if mode != "bm25":
         # a query that is asked more than once is embedded once
         own = embed(asked.select("text").distinct())
-        points = vectors.select(F.col("passage_id").alias("id"), "doc_id", "v")
-        den = dense.dense_topk(points, asked.join(own, "text").drop("text"), candidates, same_ids=False)
+        points, probed = vectors.select(F.col("passage_id").alias("id"), "doc_id", "v"), asked.join(own, "text").drop("text")
+        den = dense.dense_topk(points, probed, candidates, same_ids=False) if cells is None else cells.topk(probed, candidates, same_ids=False)
         den = den.join(passages.select(F.col("passage_id").alias("id")), "id", "left_semi")
         den = rank(den.drop("rank"))
     if mode != "dense":

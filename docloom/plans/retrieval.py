@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, tokens
 from ..operators import evaluate
 from ..functions.text import pseudo_translate
-from ..operators.dense import dense_of, dense_topk, text_vectors
+from ..operators.dense import Cells, dense_of, dense_topk, text_vectors
 from ..operators.retrieval import fuse, hash_counts, hash_embedding, l2_normalise, latest, missing, postings
-from ..operators.search import Index, bm25
+from ..operators.lexical import Index
+from ..sources.snapshots import Conflict, versioned
 from ..sources.vectors import point_id
-from ..storage import shared_path, written
+from ..storage import path_for, written
 from .registry import Tables, query
 
 #: Words of a run that documents and items of the benchmark meet on.
@@ -61,17 +62,24 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JO
 
 
 def index_of(t: Tables) -> Index:
-    return Index.build(t.documents, shared_path(t.spark, "index"), "doc_id")
+    """The index of the documents: built once, then shared by all queries over the same files."""
+    path = path_for(t.documents, "index")
+    index = Index(t.spark, path)
+    try:
+        return index if index.version is not None else Index.build(t.documents, path, "doc_id")
+    except Conflict:  # another session was faster
+        return Index(t.spark, path)
 
 
-def lexical(t: Tables, index: Index | None = None, asked=None, k: int = 20):
+def lexical(t: Tables, index: Index | None = None, asked=None, k: int = 20, among=None):
     asked = t.benchmark if asked is None else asked
-    return (index or index_of(t)).lexical(asked.select(F.col("item_id").alias("query_id"), "text"), k)
+    return (index or index_of(t)).lexical(asked.select(F.col("item_id").alias("query_id"), "text"), k, among)
 
 
 def dense_text(t: Tables, index: Index, asked=None, k: int = 20):
     own = text_vectors(t.benchmark if asked is None else asked, "item_id", "text").withColumnRenamed("id", "query_id")
-    return dense_topk(dense_of(hash_counts(index.postings)), own, k, same_ids=False)
+    vectors = index.table("vectors", lambda: dense_of(hash_counts(index.postings)))
+    return dense_topk(vectors, own, k, same_ids=False)
 
 
 def truth(t: Tables):
@@ -134,7 +142,19 @@ def bm25_top20(t: Tables):
 @query(f"WITH {_INDEX}, {duck_tokens('qt', 'benchmark', 'item_id')}, {duck_bm25('lex', 'qt', 20, 'WHERE id IN (SELECT doc_id FROM documents WHERE source IN (' + chr(39) + 'src0' + chr(39) + ', ' + chr(39) + 'src3' + chr(39) + '))')} SELECT query_id AS item_id, id AS doc_id, score, rank FROM lex")
 def bm25_doc_filter(t: Tables):
     among = t.documents.where(F.col("source").isin("src0", "src3")).select(F.col("doc_id").alias("id"))
-    return bm25(t.documents, t.benchmark, 20, among=among).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return lexical(t, among=among).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {_BM25} SELECT query_id AS item_id, id AS doc_id, score, rank FROM lex")
+def bm25_appended(t: Tables):
+    """The same ranking from an index that grew by four segments, which a tier has merged."""
+    path, parts = path_for(t.documents, "appended"), 4
+    index = Index(t.spark, path)
+    for k in range(parts):
+        if index.version is None or index.version <= k:
+            some = t.documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) <= k)  # what is there already is left out
+            index = index.add(some, "doc_id") if k else Index.build(some, path, "doc_id")
+    return lexical(t, index).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 _EMB = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 5) AS score FROM embeddings q JOIN embeddings v
@@ -157,6 +177,18 @@ def dense_filtered(t: Tables):
     return dense_topk(v.where("label IN (1, 4)"), v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10)
 
 
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def dense_cells_recall(t: Tables):
+    """Queries, and whether the cells that a query probes by default hold at least nine tenths of its ten nearest."""
+    v = _vectors(t).select("id", "v")
+    asked = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    path = path_for(t.embeddings, "cells")
+    cells = Cells(t.spark, path) if versioned(t.spark, path) else Cells.build(v, path)
+    exact = dense_topk(v, asked, 10).select("query_id", "id")
+    hits = exact.join(cells.topk(asked, 10).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("""WITH p AS (SELECT q.vec_id AS query_id, q.label AS ql, v.label AS vl, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 5) DESC, v.vec_id) AS rank
   FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) SELECT ql AS label, count(DISTINCT query_id) AS queries, round(avg(CASE WHEN ql = vl THEN 1.0 ELSE 0 END), 6) AS precision10 FROM p WHERE rank <= 10 GROUP BY ql""")
 def dense_label_precision(t: Tables):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import replies as R
+from .snapshots import Snapshots, versioned
 
 #: First bytes of a PDF, and those that mark its encryption dictionary.
 PDF_MAGIC, PDF_ENCRYPT = b"%PDF", "/Encrypt"
@@ -27,13 +28,20 @@ def load_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_passages(spark: SparkSession, path: str) -> DataFrame:
-    """Passages from lines of JSON; blank lines are skipped."""
+    """Passages from lines of JSON; blank lines are skipped. Of a folder that save_passages wrote, those of the last version."""
+    if versioned(spark, path):
+        return Snapshots(spark, path).read("passages")
     return spark.read.schema(schemas.PASSAGE).option("mode", "FAILFAST").json(path)
 
 
-def save_passages(passages: DataFrame, path: str, form: str = "json") -> None:
-    """Replaces the passages at path; readers see the old ones or the new ones, as the files are committed at the end."""
-    passages.write.mode("overwrite").format(form).save(path)
+def save_passages(passages: DataFrame, path: str, form: str = "json") -> int:
+    """Replaces the passages of a versioned folder. Until all is written readers see the old ones, and keep them if
+    anything fails; those that read the version before go on. Returns the new version."""
+    saved = Snapshots(passages.sparkSession, path)
+    with saved.change() as change:
+        change.replace("passages", passages, form)
+    saved.vacuum()
+    return change.result
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:

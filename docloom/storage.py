@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where it is unset, on one machine, below a folder that ends with the process."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, on one machine, a folder that ends with the process."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not said:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,7 +23,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
             _own.append(tempfile.mkdtemp(prefix="docloom-tables-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         said = f"file://{_own[0]}"
-    return f"{said.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
+    return f"{said.rstrip('/')}/docloom"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_for(source: DataFrame, name: str) -> str:
+    """A path below the shared folder that is the same as long as source reads the same files: what is made of them once
+    is found there again."""
+    spark, seen = source.sparkSession, hashlib.sha256()
+    for file in sorted(source.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        seen.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return f"{shared_root(spark)}/{name}-{seen.hexdigest()[:32]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
