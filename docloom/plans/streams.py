@@ -17,6 +17,11 @@ def event_session(t: Tables):
     return runs.sessions(t.events).select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
-@query()
+_MOVE = "CASE f.status || '/' || e.event_type " + " ".join(f"WHEN '{a}/{b}' THEN '{c}'" for (a, b), c in runs.MOVES.items()) + " ELSE f.status END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS pos, 'queued' AS status, n FROM e UNION ALL SELECT f.user_id, e.pos, {_MOVE}, f.n FROM f JOIN e ON e.user_id = f.user_id AND e.pos = f.pos + 1)
+SELECT user_id, status, pos AS seen FROM f WHERE pos = n""")
 def run_state(t: Tables):
     return runs.run_states_batch(t.events)

@@ -105,9 +105,15 @@ def test_chat():
     c.complete([])
     with pytest.raises(P.BudgetExceeded):
         c.complete([])
-    none = lambda most: 0.0
-    assert [P.delay(n, 429, jitter=none) for n in range(5)] == [5, 10, 20, 40, 60] and [P.delay(n, 500, jitter=none) for n in (0, 4, 9)] == [1, 16, 30] and P.delay(0, 429, "999") == 60
-    assert P.retryable(None) and P.retryable(429) and P.retryable(500) and not P.retryable(404)
+    policy, busy, down = P.RetryPolicy(4, 2, lambda a, b: 0.0), P.Failure("HTTP 429", 429), P.Failure("HTTP 503", 503)
+    assert [policy.next_wait([busy] * n) for n in range(1, 8)] == [5, 10, 20, 40, 60, 60, None]  # two cost nothing, four are retried
+    assert [policy.next_wait([down] * n) for n in range(1, 6)] == [1, 2, 4, 8, None]
+    assert policy.next_wait([down, busy, down]) == 2 and policy.next_wait([busy, down, busy]) == 10
+    assert policy.next_wait([P.Failure("HTTP 401", 401)]) is None and P.Failure("ReadTimeout").final is False
+    assert policy.next_wait([P.Failure("HTTP 429", 429, "999")]) == 60 and policy.next_wait([P.Failure("HTTP 503", 503, "soon")]) == 1
+    assert P.RetryPolicy(9, 0).next_wait([down]) > 1
+    said = {"{": "{", '[{"error": {"message": " why "}}]': "why", '{"detail": "d", "error": "e"}': "d", "[]": "", '{"error": {"code": 3}}': "", '{"message": ""}': ""}
+    assert {body: P.error_words(body) for body in said} == said
 
 
 def test_embedders(spark):
