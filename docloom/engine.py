@@ -6,18 +6,19 @@ of replies in tests. All requests go through each step together; a driver loop r
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import providers
+from . import providers, schemas
 from .config import Settings
 from .functions import language
-from .operators import chunk, dense, evaluate, grounding, lexical, messages, planning, replies, search
+from .operators import chunk, dense, evaluate, grounding, lexical, messages, planning, replies, search, translate
 from .operators.search import MODES
-from .sources import html
+from .sources import corpus, html, logs
 from .sources.snapshots import Change, Snapshots
 from .sources.vectors import VectorTable, point_id
 from .storage import written
@@ -29,12 +30,16 @@ POINTS, COMPARE_POINTS, PER_DOCUMENT, SUMMARY_PASSAGES, SUMMARY_CHARS = 5, 3, 5,
 class Engine:
     """Shared resources, opened when first used; all of them can be given instead."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, model: Model | None = None, judge: Model | None = None, embedder: Callable[[], providers.Embedder] | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, model: Model | None = None, judge: Model | None = None, embedder: Callable[[], providers.Embedder] | None = None, files: Callable[[DataFrame], DataFrame] | None = None, renderer: Callable[[DataFrame], DataFrame] | None = None, glossary: DataFrame | None = None, glossaries: DataFrame | None = None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
         self.snapshots = Snapshots(spark, root)
         own = self.settings
-        self.model = model or (lambda prompts: providers.replies(prompts, lambda: providers.Chat(own)))
-        self.judge_model = judge or self.model
+        self.model = model or (lambda prompts: providers.replies(prompts, lambda: providers.tools_chat(own)))
+        self.judge_model = judge or (self.model if model else lambda prompts: providers.replies(prompts, lambda: providers.supervisor_chat(own, own.max_calls)))
+        self.files, self.renderer, self.glossary = files, renderer, glossary
+        self.glossaries = glossaries if glossaries is not None else spark.createDataFrame([], "source_lang string, target_lang string, source string, target string")
+        self._replies: list[DataFrame] = []
+        self._judged: list[DataFrame] = []
         self.embedder = embedder or (lambda: providers.build_embedder(own))
 
     @cached_property
@@ -135,7 +140,7 @@ class Engine:
         """Answers of (request_id, question): grounding.answers, with the reply's error. A refusal is an answer."""
         hits = written(self.search(questions.select(F.col("request_id").alias("query_id"), F.col("question").alias("text")), top_k), "hits")
         excerpts = search.excerpts(hits)
-        replied = written(self.model(messages.answer_messages(questions, excerpts)), "replies")
+        replied = self._said(self.model, messages.answer_messages(questions, excerpts), "replies")
         read = questions.join(replied, "request_id", "left").select("request_id", "question", replies.answer(F.col("reply")).alias("a")).select("request_id", "question", "a.answerable", "a.answer", "a.evidence")
         return grounding.answers(read, excerpts)
 
@@ -162,7 +167,7 @@ class Engine:
         excerpts = written(both.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("place"))).drop("place"), "excerpts")
         where = F.when(F.col("own"), F.format_string("Excerpts of the report's own summary (pages %d to %d)", first, last)).otherwise("Excerpts of the report most relevant to the focus")
         asked = rows.select("request_id", "title", "focus", where.alias("where"), "lang")
-        replied = written(self.model(messages.summary_messages(asked, excerpts, max_points)), "replies")
+        replied = self._said(self.model, messages.summary_messages(asked, excerpts, max_points), "replies")
         points = replied.select("request_id", F.posexplode(replies.points(F.col("reply"))["points"]).alias("point_no", "p")).select("request_id", "point_no", "p.text", "p.evidence")
         checked = grounding.check_points(points.join(rows.select("request_id", F.col("focus").alias("request")), "request_id"), excerpts)
         return written(first_points(checked, max_points), "points"), excerpts
@@ -173,7 +178,7 @@ class Engine:
         asked = documents.select(F.struct("request_id", "doc_id").alias("k"), F.col("topic").alias("text"), F.array("doc_id").alias("doc_ids")).withColumn("query_id", F.to_json("k"))
         hits = self.search(asked.drop("k"), PER_DOCUMENT).join(asked.select("query_id", "k.request_id"), "query_id")
         excerpts, reports = (written(t, n) for t, n in zip(search.report_ranges(hits, documents.select("request_id", "place", "doc_id")), ("excerpts", "reports"), strict=True))
-        replied = written(self.model(messages.compare_messages(requests, reports, excerpts, max_points)), "replies")
+        replied = self._said(self.model, messages.compare_messages(requests, reports, excerpts, max_points), "replies")
         points = replied.select("request_id", F.posexplode(replies.comparison(F.col("reply"))["points"]).alias("point_no", "p")).select("request_id", "point_no", "p.*")
         checked = grounding.check_comparison(points.join(requests.select("request_id", F.col("topic").alias("request"), "lang"), "request_id"), reports, excerpts)
         return written(first_points(checked, max_points), "points"), excerpts
@@ -198,29 +203,71 @@ class Engine:
 
     def judge(self, items: DataFrame, requests: DataFrame) -> DataFrame:
         """items (request_id, n, statement, quotes, excerpts) with judged, faithful, problem; no reply keeps all, unjudged."""
-        replied = written(self.judge_model(messages.judge_messages(requests, items)), "verdicts")
+        replied = self._said(self.judge_model, messages.judge_messages(requests, items), "verdicts")
         read = replied.select("request_id", replies.verdicts(F.col("reply")).alias("v"))
         verdicts = read.select("request_id", F.posexplode("v.verdicts").alias("pos", "x")).select("request_id", "pos", "x.*")
         return grounding.judge_join(items, verdicts, read.select("request_id", F.col("v.valid").alias("judged")))
 
     def run(self, requests: DataFrame) -> DataFrame:
-        """(request_id, message) of (request_id, request): planned, run step by step, reviewed, rendered.
+        """(request_id, message) of (request_id, request[, confirmed]): planned, run step by step, reviewed, rendered.
 
-        Step k of all requests runs together. A request stops after a failed step, a question to the user, or a request
-        out of scope; translations of files are left to the caller's renderer and count as failed here.
+        Step k of all requests runs together. planning.chain says from what the steps before gave which of them run: a
+        request stops after a failed step, a question to the user or a request out of scope, and before a step for which
+        its model calls do not suffice; what was not done is said. confirmed answers an earlier question whether a long
+        file shall be translated. Every step is recorded if the settings name a folder for trajectories.
         """
-        plans = written(self.plan(requests), "plans")
+        requests = requests if "confirmed" in requests.columns else requests.withColumn("confirmed", F.lit(None).cast("boolean"))
+        plans = written(self.plan(requests).join(requests.select("request_id", "confirmed"), "request_id"), "plans")
         last = plans.agg(F.max("step_no")).first()[0]
-        sections, failed = None, None
+        kind = plans.schema["request_id"].dataType.simpleString()
+        sections = self.spark.createDataFrame([], f"request_id {kind}, step_no int, section string")
+        results = self.spark.createDataFrame([], f"request_id {kind}, step_no int, failed boolean, calls int")
+        # the plan itself was one call
+        limit = None if self.settings.max_calls is None else self.settings.max_calls - 1
         for k in range((last if last is not None else -1) + 1):
-            now = plans.where(F.col("step_no") == k)
-            if failed is not None:
-                now = now.join(failed, "request_id", "left_anti")
-            part, lost = self._step(written(now, "step"))
-            part, lost = written(part.withColumn("step_no", F.lit(k)), "section"), written(lost, "failed")
-            sections = part if sections is None else sections.unionByName(part)
-            failed = lost if failed is None else failed.unionByName(lost)
-        return messages.respond(plans, sections, max_steps=self.settings.max_steps) if sections is not None else requests.select("request_id", F.lit("").alias("message")).limit(0)
+            began = time.monotonic()
+            now = written(planning.chain(plans, results, limit).where((F.col("step_no") == k) & F.col("done")).drop("done", "why"), "step")
+            if now.isEmpty():
+                break
+            self._replies = []
+            part, lost = self._step(now)
+            part, lost = written(part, "section"), written(lost, "failed")
+            calls = None
+            for replied in self._replies:
+                calls = replied if calls is None else calls.unionByName(replied)
+            spent = calls.groupBy("request_id").agg(F.count("*").cast("int").alias("calls")) if calls is not None else now.select("request_id", F.lit(0).alias("calls"))
+            made = now.select("request_id", "step_no").join(lost.select("request_id", F.lit(True).alias("failed")).distinct(), "request_id", "left").join(spent, "request_id", "left")
+            made = written(made.select("request_id", "step_no", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("calls", F.lit(0)).alias("calls")), "results")
+            results = results.unionByName(made)
+            sections = sections.unionByName(part.withColumn("step_no", F.lit(k)).select("request_id", "step_no", "section"))
+            self._record(now, part, made, k, time.monotonic() - began)
+        ended = planning.chain(plans, results, limit)
+        short = ended.where("why = 'budget'").select("request_id", "lang").distinct()
+        notes = short.select("request_id", planning.message(F.col("lang"), "budget", n=F.lit(self.settings.max_calls)).alias("note"))
+        return messages.respond(plans, sections, notes, max_steps=self.settings.max_steps)
+
+    def _record(self, steps: DataFrame, parts: DataFrame, results: DataFrame, k: int, seconds: float) -> None:
+        """Appends the records of one step of all requests to the folder of trajectories; all share the step's time."""
+        if not self.settings.trajectories:
+            return
+        points = None
+        for judged in self._judged:
+            points = judged if points is None else points.unionByName(judged)
+        self._judged = []
+        rows = steps.select("request_id", "route").join(results.drop("step_no"), "request_id").join(parts.groupBy("request_id").agg(F.max("section").alias("section")), "request_id", "left")
+        if points is not None:
+            per = points.groupBy("request_id").agg(F.count_if("faithful").cast("int").alias("kept"), F.count_if(~F.col("faithful")).cast("int").alias("removed"), F.bool_and("judged").alias("judged"))
+            rows = rows.join(per, "request_id", "left")
+        else:
+            rows = rows.withColumns({"kept": F.lit(None).cast("int"), "removed": F.lit(None).cast("int"), "judged": F.lit(None).cast("boolean")})
+        own = {"thread": F.col("request_id").cast("string"), "seq": F.lit(k), "node": F.col("route"), "tool": F.when(F.col("route").isin(*planning.JUDGED, "translate"), F.col("route")), "seconds": F.lit(round(seconds, 3)), "kept": F.col("kept"), "removed": F.col("removed"), "judged": F.col("judged"), "ok": ~F.col("failed"), "items": F.col("calls"), "ts": F.current_timestamp()}
+        logs.save_trajectories(rows.select(*(own[f.name].alias(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.TRAJECTORY.fields if f.name != "day")), self.settings.trajectories)
+
+    def _said(self, model: Model, prompts: DataFrame, name: str) -> DataFrame:
+        """The replies of a model, written, and counted for the step under way."""
+        replied = written(model(prompts), name)
+        self._replies.append(replied.select("request_id"))
+        return replied
 
     def _step(self, step: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(sections, requests that stop) of one step of every request."""
@@ -229,8 +276,11 @@ class Engine:
         asked = step.where("route in ('clarify', 'out_of_scope')").crossJoin(listing)
         head = F.when(F.col("route") == "clarify", F.col("reply")).otherwise(planning.message(lang, "out_of_scope"))
         plain = asked.select("request_id", F.concat(head, F.lit("\n"), planning.message(lang, "available"), F.lit(" :\n"), "catalogue").alias("section"))
-        files = step.where("route = 'translate'").select("request_id", F.col("path").alias("section"))
-        sections, stop = plain.unionByName(files), plain.select("request_id").unionByName(files.select("request_id"))
+        sections, stop = plain, plain.select("request_id")
+        files = step.where("route = 'translate'")
+        if not files.isEmpty():
+            told, failed = self.translate(files)
+            sections, stop = sections.unionByName(told), stop.unionByName(failed)
         questions = step.where("route = 'question'")
         if not questions.isEmpty():
             sections = sections.unionByName(self._answered(questions))
@@ -240,11 +290,65 @@ class Engine:
                 sections = sections.unionByName(work(rows))
         return sections, stop
 
+    # Translation of files ----------------------------------------------------------------------------------------------
+
+    def translate(self, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(sections, requests that stop) of translation steps (request_id, path, target_lang, lang, confirmed).
+
+        The reader of files gives (request_id, page, pos, text, refused). Refused files, those in an unknown language or
+        in the target's already, and long ones without a yes stop their request. The rest is translated with the glossary
+        of its languages; texts that were translated before come from the cache. What is translated is a table, which the
+        renderer, if there is one, turns into files.
+        """
+        if self.files is None:
+            told = steps.select("request_id", F.concat("path", F.lit(": no reader of files is set up")).alias("section"))
+            return told, told.select("request_id")
+        blocks = written(self.files(steps.select("request_id", "path")), "blocks")
+        pages = blocks.where("refused is null").groupBy("request_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda b: b["text"]), "\n").alias("text"))
+        read = language.document_languages(pages.withColumnRenamed("request_id", "doc_id"), steps.select(F.col("request_id").alias("doc_id"), F.lit(None).cast("string").alias("stated")))
+        per = blocks.groupBy("request_id").agg(F.max("refused").alias("refused"), F.countDistinct("page").alias("pages"))
+        known = steps.join(per, "request_id", "left").join(read.select(F.col("doc_id").alias("request_id"), F.col("language").alias("source")), "request_id", "left")
+        known = known.select("request_id", "path", "lang", F.coalesce("refused", F.when(F.col("pages").isNull(), "the file is not there")).alias("refused"), (F.col("pages") > self.settings.confirm_pages).alias("needs_confirmation"), "confirmed", "source", F.col("target_lang").alias("target"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("failed"))
+        state = written(planning.translation_step(known), "files")
+        go = state.where("step = 'rebuild'").select("request_id", "source", "target")
+        done = None
+        for source, target in go.select("source", "target").distinct().collect():  # pairs of the few languages
+            some = blocks.join(go.where((F.col("source") == source) & (F.col("target") == target)).select("request_id"), "request_id")
+            one = written(self._translated(some, source, target), "translated")
+            done = one if done is None else done.unionByName(one)
+        asks = F.when(F.col("step") == "needs_confirmation", F.when(F.col("lang") == "en", "this file is long; shall it be translated?").otherwise("ce fichier est long ; faut-il le traduire ?")).when(F.col("step") == "cancelled", F.when(F.col("lang") == "en", "not translated").otherwise("non traduit")).otherwise(F.col("message"))
+        stopped = state.where("step <> 'rebuild'")
+        sections = stopped.select("request_id", F.concat("path", F.lit(": "), asks).alias("section"))
+        if done is not None:
+            made = self.renderer(done.join(state.select("request_id", "path"), "request_id")) if self.renderer else done.groupBy("request_id").agg(F.concat(F.count("*").cast("string"), F.lit(" blocks translated")).alias("file"))
+            sections = sections.unionByName(state.where("step = 'rebuild'").join(made, "request_id").select("request_id", F.concat("path", F.lit(": "), "file").alias("section")))
+        return sections, stopped.select("request_id")
+
+    def _translated(self, blocks: DataFrame, source: str, target: str) -> DataFrame:
+        """blocks (request_id, page, pos, text) with `translation`, from the cache where it has the text."""
+        cache = logs.Cache(self.spark, f"{self.root}/translations", self.settings.model or "", translate.PROMPT_VERSION)
+        glossary = corpus.glossary_for(self.glossaries, self.glossary, source, target)
+        keyed = blocks.withColumn("key", logs.cache_key(translate.PROMPT_VERSION, self.settings.model or "", source, target, F.col("text")))
+
+        def ask(prompts: DataFrame) -> DataFrame:
+            replied = written(self.model(prompts.select(F.col("batch_id").alias("request_id"), "messages")), "replies")
+            own = blocks.select("request_id").distinct()  # a batch is named after its request and page
+            self._replies.append(own.join(replied.select(F.split_part("request_id", F.lit("/"), F.lit(1)).alias("own")), F.col("own") == own["request_id"].cast("string")).select("request_id"))
+            return replied.withColumnRenamed("request_id", "batch_id")
+
+        def work(missing: DataFrame) -> DataFrame:
+            rows = written(missing.withColumn("group", F.concat_ws("/", F.col("request_id").cast("string"), "page")).select("group", "pos", "text", "key"), "missing")
+            got, _ = translate.translate_blocks(rows, glossary, ask, source, target, "group", "pos")
+            return rows.join(got.select("group", "pos", "translation"), ["group", "pos"]).select("key", F.col("translation").alias("value"))
+
+        return cache.through(keyed, work).select("request_id", "page", "pos", "text", F.col("value").alias("translation"))
+
     def _answered(self, rows: DataFrame) -> DataFrame:
         found = written(self.ask(rows.select("request_id", "question")), "answers")
         quotes, excerpts = messages.judged_quotes(F.col("sources"))
         items = found.where("answerable").select("request_id", F.lit(1).alias("n"), F.col("answer").alias("statement"), quotes.alias("quotes"), excerpts.alias("excerpts"))
         judged = self.judge(items, rows.select("request_id", "request", "lang")).select("request_id", "judged", "faithful", "problem")
+        self._judged.append(judged.select("request_id", "faithful", "judged"))
         return messages.render_answers(found.join(judged, "request_id", "left").join(rows.select("request_id", "lang"), "request_id"))
 
     def _reviewed(self, rows: DataFrame, points: DataFrame, line, statement, sources) -> DataFrame:
@@ -252,6 +356,7 @@ class Engine:
         kept = points.where("kept").withColumn("n", F.col("point_no") + 1)
         items = kept.select("request_id", "n", statement.alias("statement"), quotes.alias("quotes"), excerpts.alias("excerpts"))
         judged = self.judge(items, rows.select("request_id", "request", "lang")).select("request_id", "n", "judged", "faithful", "problem")
+        self._judged.append(judged.select("request_id", "faithful", "judged"))
         return kept.withColumn("line", line).join(judged, ["request_id", "n"])
 
     def _summarized(self, rows: DataFrame) -> DataFrame:

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import markup as M
 from ..functions import text as X
-from ..functions.kernels import batch_ranges
 from ..storage import written
 from . import messages as Msg
 from . import replies as R
 
 MISSING_ROUNDS = 3
+#: Kept with cached translations: another prompt makes others.
+PROMPT_VERSION = "t1"
 
 
 def relevant_terms(texts: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -48,23 +50,28 @@ def kept_locally(blocks: DataFrame, glossary: DataFrame) -> tuple[DataFrame, Dat
 
 
 def batches(blocks: DataFrame, by: str, order: str, most_chars: int = 6000, most_items: int = 40) -> DataFrame:
-    """blocks (by, order, text, ...) with `batch`: consecutive blocks of a group in batches of so many items and characters."""
-    names = [by, order, "text"]
+    """blocks (by, order, text, ...) with `batch`: consecutive blocks of a group in batches of so many items and characters.
+
+    A block that is larger alone is a batch of its own. Rows keep all their columns; blocks of a null group are one group.
+    """
+    kind = StructType([*blocks.schema.fields, StructField("batch", IntegerType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in parts for r in zip(*(b.column(n).to_pylist() for n in (by, order, "size")), strict=True))
-        for group, own in groupby(rows, key=lambda r: r[0]):
-            own = [*own]
-            numbers = [n for n, (first, end) in enumerate(batch_ranges([r[2] for r in own], most_chars, most_items)) for _ in range(first, end)]
-            yield pa.RecordBatch.from_pydict({by: [group] * len(own), order: [r[1] for r in own], "batch": pa.array(numbers, pa.int32())}, schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    kind = StructType([blocks.schema[by], blocks.schema[order], StructField("batch", IntegerType())])
-    schema = to_arrow_schema(kind)
-    thin = blocks.select(by, order, F.length("text").alias("size")).repartition(by).sortWithinPartitions(by, order)
-    return blocks.select(*names, *(c for c in blocks.columns if c not in names)).join(thin.mapInArrow(run, kind), [by, order])
+        group, number, items, chars = None, 0, 0, 0
+        fresh = True
+        for part in parts:
+            numbers = []
+            for name, size in zip(part.column(by).to_pylist(), pc.utf8_length(part.column("text")).to_pylist(), strict=True):
+                size = size or 0
+                if fresh or name != group:
+                    group, number, items, chars, fresh = name, 0, 0, 0, False
+                elif items >= most_items or chars + size > most_chars:
+                    number, items, chars = number + 1, 0, 0
+                items, chars = items + 1, chars + size
+                numbers.append(number)
+            yield pa.record_batch([*part.columns, pa.array(numbers, pa.int32())], names=[*part.schema.names, "batch"])
+
+    return blocks.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, kind)
 
 
 def missing_items(asked: DataFrame, answers: DataFrame) -> DataFrame:

@@ -64,6 +64,83 @@ def test_requests(spark, engine):
     assert tuple(engine.evaluate_judge(traps).first()["traps_caught"]) == (0, 2)
 
 
+def test_budget_and_records(spark, engine, tmp_path):
+    """Two model calls a step and one for the plan: the second step cannot be paid, and the message says so."""
+    from dataclasses import replace
+
+    from docloom.sources import logs
+
+    asked = spark.createDataFrame([(1, "sum up the water report"), (2, "compare the hills in the reports")], "request_id long, request string")
+    short = Engine(spark, engine.root, replace(engine.settings, max_calls=3, trajectories=str(tmp_path / "t")), engine.model, engine.judge_model)
+    got = {r["request_id"]: r["message"] for r in short.run(asked).collect()}
+    assert got[1].startswith("Step 1 of 2 - summary") and "They fell" not in got[1]
+    assert got[1].endswith("Not done: step 2 (question).\n\nThe limit of 3 model calls is reached.") and "limit" not in got[2]
+    records = {(r["thread"], r["seq"]): r for r in logs.load_trajectories(spark, str(tmp_path / "t")).collect()}
+    assert sorted(records) == [("1", 0), ("2", 0)] and records["1", 0]["kept"] == 1 and records["2", 0]["removed"] == 1 and all(r["ok"] and r["items"] == 2 for r in records.values())
+
+
+def test_translation_steps(spark, engine, tmp_path):
+    """A plan that translates, then asks: refusals and open questions stop it; cached texts are not asked for again."""
+    from dataclasses import replace
+
+    asked_texts = []
+    steps = lambda path: json.dumps({"steps": [{"route": "translate", "path": path, "target_lang": "fr"}, {"route": "question", "question": "river levels"}]})
+
+    def model(prompts):
+        rows = []
+        for r in prompts.collect():
+            said = r["messages"][-1]["content"]
+            if "Request: " in said:
+                rows.append((str(r["request_id"]), steps(f"{said.split('tr ')[1].split()[0]}.pdf")))
+            elif "Question: " in said:
+                rows.append((str(r["request_id"]), '{"answerable": false}'))
+            else:
+                blocks = json.loads(said[said.index("[{") : said.rindex("}]") + 2])
+                asked_texts.extend(b["text"] for b in blocks)
+                rows.append((str(r["request_id"]), json.dumps({"translations": [{"id": b["id"], "text": f"fr {b['text']}"} for b in blocks]})))
+        kind = prompts.schema["request_id"].dataType.simpleString()
+        return spark.createDataFrame(rows, "request_id string, reply string").select(F.col("request_id").cast(kind).alias("request_id"), "reply")
+
+    text = "The water of the river falls in the summer and the dams of the hills are closed for the year"
+    book = {"a.pdf": [(0, 0, text, None), (0, 1, "A-12", None), (1, 0, "The dams of the hills hold the water of the spring for the summer", None)], "b.pdf": [(None, None, None, "the file is not a PDF")], "long.pdf": [(p, 0, f"{text} {p}", None) for p in range(4)]}
+
+    def files(paths):
+        rows = [(r["request_id"], *b) for r in paths.collect() for b in book.get(r["path"], [])]
+        return spark.createDataFrame(rows, "request_id long, page int, pos int, text string, refused string")
+
+    glossaries = spark.createDataFrame([("en", "fr", "A-12", "A-12 bis")], "source_lang string, target_lang string, source string, target string")
+    own = Engine(spark, engine.root, replace(engine.settings, confirm_pages=3), model, model, files=files, glossaries=glossaries)
+    asked = spark.createDataFrame([(k, f"tr {name} now") for k, name in enumerate(["a", "b", "gone", "long"])], "request_id long, request string")
+    got = {r["request_id"]: r["message"] for r in own.run(asked).collect()}
+    assert "a.pdf: 3 blocks translated" in got[0] and ("Étape 2 sur 2" in got[0] or "Step 2 of 2" in got[0])
+    assert "b.pdf: the file is not a PDF" in got[1] and "gone.pdf: the file is not there" in got[2] and "long.pdf: " in got[3]
+    assert all("2 (question)" in got[k] for k in (1, 2, 3)) and len(asked_texts) == 2
+    again = {r["request_id"]: r["message"] for r in own.run(asked.where("request_id in (0, 3)").withColumn("confirmed", F.lit(True))).collect()}
+    assert "a.pdf: 3 blocks translated" in again[0] and "long.pdf: 4 blocks translated" in again[3] and len(asked_texts) == 6
+    cached = own._translated(files(spark.createDataFrame([(7, "a.pdf")], "request_id long, path string")), "en", "fr").orderBy("page", "pos").collect()
+    assert [r["translation"] for r in cached] == [f"fr {text}", "A-12 bis", f"fr {book['a.pdf'][2][2]}"] and len(asked_texts) == 6
+
+
+def test_more_documents(spark, engine, tmp_path):
+    """add makes one more version; an engine that is open stays at its own; cells find what the exact scan finds."""
+    blocks = lambda rows: spark.createDataFrame([(d, 0, 0, text, 10.0, False, True, False) for d, text in rows], "doc_id string, page int, pos int, text string, size double, bold boolean, horizontal boolean, numeric boolean")
+    titles = lambda *names: spark.createDataFrame([(d, f"Report {d}") for d in names], "doc_id string, title string")
+    made = Engine(spark, str(tmp_path / "e"))
+    made.build(blocks([("w", PAGES[0][2]), ("f", PAGES[1][2])]), titles("w", "f"))
+    open_ = Engine(spark, made.root)
+    assert open_.passages.count() == 2
+    made.add(blocks([("x", "Wells run dry in summer when rain is late, and springs fail in the hills. " * 2), ("w", "again " * 40)]), titles("x", "w"))
+    asked = spark.createDataFrame([(1, "dry wells and springs")], "query_id long, text string")
+    for mode in ("bm25", "dense", "hybrid"):
+        assert made.search(asked, 1, mode).first()["doc_id"] == "x" == made.search(asked, 1, mode, exact=False).first()["doc_id"]
+        assert "x" not in {r["doc_id"] for r in open_.search(asked, 9, mode).collect()}
+    assert made.passages.count() == 3 == made.vectors.count() and len(made.lexical.segments) == 2
+    with pytest.raises(Exception, match="raised"):
+        made.add(blocks([("y", "some text " * 20)]).withColumn("text", F.raise_error(F.lit("raised"))), titles("y"))
+    made.refresh()
+    assert made.catalogue.count() == 3 and made.version == 2
+
+
 def test_evaluation_and_command_line(spark, engine, capsys, tmp_path):
     questions = spark.createDataFrame([("q1", "dams closed for repairs", "plain", [("w", [1])]), ("q2", "forest fires", "plain", [("f", [1])]), ("q3", "moon", "none", [("f", [7])])], "query_id string, text string, type string, expected array<struct<doc_id:string,pages:array<int>>>")
     measures, pairs = engine.evaluate(questions)
