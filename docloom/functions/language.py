@@ -86,11 +86,11 @@ def metadata_language(value: Column) -> Column:
     return F.when(code.isin(*SUPPORTED), code)
 
 
-def detect(stated: Column, sample: Column) -> Column:
+def detect(stated: Column, sample: Column, read: Column | None = None) -> Column:
     """struct(language, confidence, method, metadata) from what a document states and a sample of its text.
 
     The statement holds unless the text is sure of another language: 1 where both agree, less where the text says
-    nothing or leans elsewhere.
+    nothing or leans elsewhere. read: a struct(language, confidence) of the sample, by the word lists if not given.
     """
 
     def decide(x: Column) -> Column:
@@ -102,7 +102,7 @@ def detect(stated: Column, sample: Column) -> Column:
             F.when(trust, "metadata").when(text.isNotNull(), "text").otherwise("none").alias("method"), x["stated"].alias("metadata"),
         )
 
-    return once(F.struct(metadata_language(stated).alias("meta"), classify(sample).alias("read"), stated.alias("stated")), decide)
+    return once(F.struct(metadata_language(stated).alias("meta"), (classify(sample) if read is None else read).alias("read"), stated.alias("stated")), decide)
 
 
 def text_sample(pages: DataFrame) -> DataFrame:
@@ -118,7 +118,10 @@ def text_sample(pages: DataFrame) -> DataFrame:
     return read.groupBy("doc_id").agg(F.substring(joined, 1, SAMPLE_CHARS).alias("sample"))
 
 
-def document_languages(pages: DataFrame, stated: DataFrame) -> DataFrame:
-    """(doc_id, language, confidence, method, metadata) of documents: pages (doc_id, page, text), stated (doc_id, stated)."""
-    rows = stated.join(text_sample(pages), "doc_id", "left")
-    return rows.select("doc_id", detect(F.col("stated"), F.col("sample")).alias("d")).select("doc_id", "d.*")
+def document_languages(pages: DataFrame, stated: DataFrame, classifier: Callable[[Column], Column] = classify) -> DataFrame:
+    """(doc_id, language, confidence, method, metadata) of documents: pages (doc_id, page, text), stated (doc_id, stated).
+
+    classifier: how a sample is read, by the word lists or by a trained model (operators.langid).
+    """
+    rows = stated.join(text_sample(pages), "doc_id", "left").withColumn("read", classifier(F.col("sample")))
+    return rows.select("doc_id", detect(F.col("stated"), F.col("sample"), F.col("read")).alias("d")).select("doc_id", "d.*")

@@ -14,6 +14,7 @@ from ..functions import markup as M
 from ..functions import text as X
 from ..storage import written
 from . import messages as Msg
+from . import patterns
 from . import replies as R
 
 MISSING_ROUNDS = 3
@@ -24,20 +25,12 @@ PROMPT_VERSION = "t1"
 def relevant_terms(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """(id, source, target): the terms that occur as whole words in a text; capitals only terms mind their case.
 
-    texts: (id, text). Both sides meet on the term's first word, so that a text is held only against terms that may
-    occur in it; the whole-word pattern then decides.
+    texts: (id, text). All terms are looked for in one pass over each text (operators.patterns), however many words they
+    have. Terms that differ from another only in what they render are found each for itself.
     """
-    lead = lambda c: F.lower(F.regexp_extract(c, r"(?U)(\w+)", 1))
-    terms = glossary.withColumn("lead", lead(F.col("source")))
-    words = texts.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("lead"))
-    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("source"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    case = F.when(F.col("source") == F.upper("source"), F.lit("(?U)")).otherwise(F.lit("(?iU)"))
-    pattern = F.concat(case, F.lit(r"(?<!\w)"), quoted, F.lit(r"(?!\w)"))
-    bare = terms.where("lead = ''").drop("lead")
-    met = words.join(terms.where("lead <> ''"), "lead").drop("lead")
-    # terms of signs only have no first word; there are few, if any, of them
-    met = met.unionByName(texts.select("id", "text").join(bare, F.contains("text", F.col("source"))))
-    return met.where(F.regexp_like("text", pattern)).select("id", "source", "target").distinct()
+    terms = glossary.select(F.struct("source", "target").alias("pattern_id"), F.col("source").alias("pattern"), (F.col("source") == F.upper("source")).alias("exact")).distinct()
+    met = patterns.found_in(texts.select(F.col("id").alias("text_id"), "text"), terms)
+    return met.select(F.col("text_id").alias("id"), "pattern_id.source", "pattern_id.target").distinct()
 
 
 def kept_locally(blocks: DataFrame, glossary: DataFrame) -> tuple[DataFrame, DataFrame]:

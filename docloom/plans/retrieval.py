@@ -9,14 +9,13 @@ from ..operators import evaluate
 from ..functions.text import pseudo_translate
 from ..operators.dense import Cells, dense_of, dense_topk, text_vectors
 from ..operators.retrieval import fuse, hash_counts, hash_embedding, l2_normalise, latest, missing, postings
-from ..operators.lexical import Index
+from ..operators.lexical import Index, spread_out
+from ..operators.patterns import found_in
 from ..sources.snapshots import Conflict, versioned
 from ..sources.vectors import point_id
 from ..storage import path_for, written
 from .registry import Tables, query
 
-#: Words of a run that documents and items of the benchmark meet on.
-GRAM = 3
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -83,20 +82,10 @@ def dense_text(t: Tables, index: Index, asked=None, k: int = 20):
 
 
 def truth(t: Tables):
-    """(query_id, id): documents that hold an item's text. Both sides meet on runs of GRAM words, then the text decides.
-
-    An item's inner words are whole words of every document that holds it, so one run of them, the item's least hash,
-    finds all its documents. Items with too few words for a run are held against every document.
-    """
-    words = lambda c: F.split(c, r"\s+")
-    runs = lambda w, first, last: F.transform(F.sequence(first, last), lambda k: F.xxhash64(*(F.get(w, k + i) for i in range(GRAM))))
-    items = t.benchmark.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    long_ = items.where(F.size("w") >= GRAM + 2).withColumn("run", F.array_min(runs(F.col("w"), F.lit(1), F.size("w") - 1 - GRAM)))
-    docs = t.documents.select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= GRAM)
-    anchors = docs.select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(0), F.size("w") - GRAM))).alias("run"))
-    met = anchors.join(long_.select("item_id", "item", "run"), "run").select("item_id", "item", "doc_id").distinct().join(t.documents.select("doc_id", "text"), "doc_id")
-    short = items.where(F.size("w") < GRAM + 2).select("item_id", "item").join(t.documents.select("doc_id", "text"), F.contains("text", F.col("item")))
-    return met.where(F.contains("text", F.col("item"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).unionByName(short.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")))
+    """(query_id, id): documents that hold an item's text; all items are looked for in one pass over the documents."""
+    items = t.benchmark.select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"), F.lit(True).alias("exact"))
+    met = found_in(spread_out(t.documents.select(F.col("doc_id").alias("text_id"), "text")), items, whole_words=False)
+    return met.select(F.col("pattern_id").alias("query_id"), F.col("text_id").alias("id"))
 
 
 def systems(t: Tables):

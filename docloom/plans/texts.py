@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import language
 from ..functions import text as X
 from ..operators import chunk
+from ..operators.langid import LanguageModel
 from ..sources import html
 from .registry import Tables, query
 
@@ -148,6 +149,16 @@ def lang_confusion(t: Tables):
     return _detected(t).groupBy("lang", "guess").agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS held_out, true AS enough FROM documents WHERE (doc_id * 7 + 3) % 5 = 0 AND lang IS NOT NULL")
+def lang_model(t: Tables):
+    """Held-out documents, and whether a model trained on the others names the language of at least 95 in a hundred."""
+    out = (F.col("doc_id") * 7 + 3) % 5 == 0
+    rows = t.documents.where("lang is not null")
+    model = LanguageModel.fit(rows.where(~out))
+    read = rows.where(out).select("lang", model.classify(F.col("text"))["language"].alias("guess"))
+    return read.agg(F.count("*").alias("held_out"), (F.count_if(F.col("guess") == F.col("lang")) >= 0.95 * F.count("*")).alias("enough"))
+
+
 _META = "CASE WHEN source = 'src1' THEN NULL WHEN source = 'src2' THEN 'EN_us' WHEN source = 'src3' THEN 'xx' ELSE lang END"
 
 
