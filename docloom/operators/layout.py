@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import blocks as B
 from ..functions import text as X
+from .sweep import with_cells
 
 PAGE = ["doc_id", "page"]
 CELL = 20
@@ -150,7 +152,7 @@ def room(boxes: DataFrame, obstacles: DataFrame, panels: DataFrame, pages: DataF
     """boxes (PAGE, key columns, box) with `room`: free points below, right or left of each, at most `limit`.
 
     Space is measured in cells of one point; text stays 2 points off what follows, and in its panel. keep_gap: the
-    share of the gap to the next obstacle that has to stay empty.
+    share of the gap to the next obstacle that has to stay empty. A page is one group, swept once (operators.sweep).
     """
     width, tall = _whole(F.col("width")) + 1, _whole(F.col("height")) + 1
     keys = [c for c in boxes.columns if c not in (*PAGE, "box")]
@@ -160,31 +162,26 @@ def room(boxes: DataFrame, obstacles: DataFrame, panels: DataFrame, pages: DataF
     rows = boxes.withColumn("limit", limit.cast("double")).join(pages.select(*PAGE, "width", "height"), PAGE)
     edges = rows.join(panels.select(*PAGE, F.col("box").alias("panel")), PAGE).where(inside).groupBy(*PAGE, *keys).agg(F.min(to_edge).alias("edge"))
     rows = rows.join(edges, [*PAGE, *keys], "left").withColumn("limit", F.least("limit", "edge"))  # least skips null
-    o = {k: _whole(F.col(f"o.{k}")) for k in ("x0", "y0", "x1", "y1")}
-    met = rows.join(obstacles.select(*PAGE, F.col("box").alias("o")), PAGE)
+    cell, o = F.col("cell"), {k: _whole(F.col(f"box.{k}")) for k in ("x0", "y0", "x1", "y1")}
+    across = ("x0", "x1", width) if side == "below" else ("y0", "y1", tall)
+    rows = rows.withColumns({"low": F.greatest(_whole(b[across[0]]) + 1, F.lit(0)), "high": F.least(_whole(b[across[1]]), across[2]) - 1})
+    # the sweep goes down, right, or, with signs turned, left
     if side == "below":
-        start, stop = _whole(b["y1"]) + 2, F.least(_whole(b["y1"] + F.col("limit") / (1 - keep_gap)) + 3, tall)
-        beside = (o["x0"] < F.least(_whole(b["x1"]), width)) & (o["x1"] >= F.greatest(_whole(b["x0"]) + 1, F.lit(0)))
-        cell = F.greatest(o["y0"], start)
-        first = met.where(beside & (o["y1"] >= start) & (cell < stop)).groupBy(*PAGE, *keys).agg(F.min(cell).alias("cell"))
-        free = (F.col("cell") - b["y1"]) * (1 - keep_gap) - 2
-        open_ = F.least(F.col("limit"), tall - 1 - b["y1"] - 2)
-        found = F.when(F.col("cell").isNotNull(), F.least(F.col("limit"), free)).otherwise(open_)
+        start, stop, near, far = _whole(b["y1"]) + 2, F.least(_whole(b["y1"] + F.col("limit") / (1 - keep_gap)) + 3, tall), o["y0"], o["y1"]
+        free, open_ = F.least(F.col("limit"), (cell - b["y1"]) * (1 - keep_gap) - 2), F.least(F.col("limit"), tall - 1 - b["y1"] - 2)
+    elif side == "right":
+        start, stop, near, far = _whole(b["x1"]) + 2, F.least(_whole(b["x1"] + F.col("limit")) + 1, width), o["x0"], o["x1"]
+        free, open_ = cell - b["x1"] - 2, F.least(F.col("limit"), width - 1 - b["x1"] - 2)
     else:
-        beside = (o["y0"] < F.least(_whole(b["y1"]), tall)) & (o["y1"] >= F.greatest(_whole(b["y0"]) + 1, F.lit(0)))
-        if side == "right":
-            start, stop = _whole(b["x1"]) + 2, F.least(_whole(b["x1"] + F.col("limit")) + 1, width)
-            cell = F.greatest(o["x0"], start)
-            hit, pick = (o["x1"] >= start) & (cell < stop), F.min
-            free, open_ = F.col("cell") - b["x1"] - 2, F.least(F.col("limit"), width - 1 - b["x1"] - 2)
-        else:
-            start, stop = _whole(b["x0"]) - 2, F.greatest(_whole(b["x0"] - F.col("limit")) - 1, F.lit(-1))
-            cell = F.least(o["x1"], start)
-            hit, pick = (o["x0"] <= start) & (cell > stop), F.max
-            free, open_ = b["x0"] - F.col("cell") - 2, F.least(F.col("limit"), b["x0"] - 2)
-        first = met.where(beside & hit).groupBy(*PAGE, *keys).agg(pick(cell).alias("cell"))
-        found = F.when(F.col("cell").isNotNull(), free).otherwise(open_)
-    return rows.join(first, [*PAGE, *keys], "left").select(*PAGE, *keys, "box", F.greatest(found, F.lit(0.0)).alias("room"))
+        start, stop, near, far = 2 - _whole(b["x0"]), -F.greatest(_whole(b["x0"] - F.col("limit")) - 1, F.lit(-1)), -o["x1"], -o["x0"]
+        free, open_ = b["x0"] + cell - 2, F.least(F.col("limit"), b["x0"] - 2)
+    rows = rows.withColumns({"start": start, "stop": stop})
+    taken = obstacles.select(*PAGE, o[across[0]].alias("low"), o[across[1]].alias("high"), near.alias("start"), far.alias("far"))
+    both = rows.withColumns({"asked": F.lit(True), "far": F.lit(0)}).unionByName(taken.withColumn("asked", F.lit(False)), allowMissingColumns=True)
+    kind = StructType([*both.drop("asked", "far").schema.fields, StructField("cell", IntegerType())])
+    met = both.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(with_cells(PAGE), kind)
+    found = F.when(cell < F.col("stop"), free).otherwise(open_)  # no cell: null
+    return met.select(*PAGE, *keys, "box", F.greatest(found, F.lit(0.0)).alias("room"))
 
 
 def body_boxes(blocks: DataFrame) -> DataFrame:

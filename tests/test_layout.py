@@ -137,3 +137,23 @@ def test_reports(spark, blocks):
     sizes = spark.createDataFrame([("d", 0, 200.0, 300.0), ("d", 1, 200.0, 300.0)], "doc_id string, page int, width double, height double")
     drawn = spark.createDataFrame([("d", 0, (0.0, 0.0, 5.0, 5.0)), ("d", 0, (-9.0, 0.0, -1.0, 5.0))], "doc_id string, page int, box struct<x0:double,y0:double,x1:double,y1:double>")
     assert {r["page"]: r["drawings"] for r in L.visible_drawings(drawn, sizes).collect()} == {0: 1, 1: 0}
+
+
+def test_sweep_line():
+    """The sweep against every pair of boxes and obstacles, empty stretches and far coordinates too."""
+    import random
+
+    from docloom.operators.sweep import FREE, few_ahead, first_ahead
+
+    rng = random.Random(8)
+    for n in (0, 1, 3, 40, 200):
+        wide = rng.choice([30, 10**6])
+        asked = [(a := rng.randrange(wide), a + rng.randrange(-1, 9), rng.randrange(60)) for _ in range(n)]
+        taken = [(a := rng.randrange(wide), a + rng.randrange(20), b := rng.randrange(60), b + rng.randrange(9)) for _ in range(n)]
+        taken += [(0, wide, 59, 61)] * (n > 3)
+        want = [min((max(near, s) for a, b, near, far in taken if a <= high and b >= low and far >= s), default=None) for low, high, s in asked]
+        assert first_ahead(asked, taken) == want
+        if n:
+            low, high, start = np.array(asked).T
+            assert [None if c == FREE else c for c in few_ahead(low, high, start, np.array(taken).T).tolist()] == want
+    assert first_ahead([(0, 5, 0)], []) == [None]
