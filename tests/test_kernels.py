@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.functions.kernels import batch_ranges, loose_figures, pack_ranges, plain_numbers, quote_holds, split_long
+from docloom.functions.kernels import Passage, alike, batch_ranges, loose_figures, pack_ranges, plain_numbers, quote_holds, quote_in_passage, split_long, unsupported_numbers
 from docloom.functions.markup import markup_html
 from docloom.operators.evaluate import binomial_p
 from docloom.operators.search import bm25
@@ -28,6 +28,35 @@ def test_figures():
     assert loose_figures("20", "2018") == ["20"]
 
 
+def slow_in_order(quote, words, most):
+    """The least number of words left out, by looking at every pair of places."""
+    best = {k: 0 for k, w in enumerate(words) if alike(quote[0], w)}
+    for word in quote[1:]:
+        best = {k: c for k, w in enumerate(words) if alike(word, w) and (c := min((b + k - at - 1 for at, b in best.items() if at < k), default=99)) < 99}
+    return bool(best) and min(best.values()) <= most
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=7), max_size=25), st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=6), st.integers(0, 6))
+def test_in_order(words, quote, most):
+    passage = Passage("")
+    passage.bits = {}
+    for k, w in enumerate(words):
+        passage.bits[w] = passage.bits.get(w, 0) | 1 << k
+    passage.sorted = sorted(passage.bits)
+    for q in quote:
+        assert passage.places(q) == sum(1 << k for k, w in enumerate(words) if alike(q, w))
+    assert passage.in_order(quote, most) == slow_in_order(quote, words, most)
+
+
+def test_quotes_of_a_batch(spark):
+    """Rows in any order, nulls on both sides, the same passage in many rows."""
+    rows = [(k, q, p) for k, (q, p) in enumerate([("emissions reached 59 GtCO2 in 2019", PASSAGE), (None, PASSAGE), ("emissions reached", None), ("other words here then", "Other words stand here then."), ("higher than in 1990", PASSAGE), ("Global emissions reached 58", PASSAGE)] * 7)]
+    df = spark.createDataFrame(rows, "k int, q string, p string").repartition(3)
+    got = {r["k"]: (r["h"], r["n"]) for r in df.select("k", quote_in_passage(F.col("q"), F.col("p")).alias("h"), unsupported_numbers(F.col("q"), F.col("p")).alias("n")).collect()}
+    assert got == {k: (quote_holds(q, p), loose_figures(q, p)) for k, q, p in rows} and sum(h for h, _ in got.values()) == 14
+
+
 def test_markup():
     style = {"s1": {"color": 255, "bold": True, "italic": False, "position": None, "font": "F"}}
     assert markup_html("a<s1>b & c</s1></s2>d<br/><sup>e", style) == 'a<span style="color: #0000ff; font-weight: bold; font-style: normal">b &amp; c</span>d <span style="vertical-align: super; font-size: 70%">e</span>'
