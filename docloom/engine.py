@@ -247,19 +247,25 @@ class Engine:
         return messages.respond(plans, sections, notes, max_steps=self.settings.max_steps)
 
     def _record(self, steps: DataFrame, parts: DataFrame, results: DataFrame, k: int, seconds: float) -> None:
-        """Appends the records of one step of all requests to the folder of trajectories; all share the step's time."""
-        if not self.settings.trajectories:
+        """Appends one step of all requests to the folders of trajectories and of traces; all share the step's time."""
+        points, judged_now, self._judged = None, self._judged, []
+        if not self.settings.trajectories and not self.settings.trace_path:
             return
-        points = None
-        for judged in self._judged:
+        for judged in judged_now:
             points = judged if points is None else points.unionByName(judged)
-        self._judged = []
         rows = steps.select("request_id", "route").join(results.drop("step_no"), "request_id").join(parts.groupBy("request_id").agg(F.max("section").alias("section")), "request_id", "left")
         if points is not None:
             per = points.groupBy("request_id").agg(F.count_if("faithful").cast("int").alias("kept"), F.count_if(~F.col("faithful")).cast("int").alias("removed"), F.bool_and("judged").alias("judged"))
             rows = rows.join(per, "request_id", "left")
         else:
             rows = rows.withColumns({"kept": F.lit(None).cast("int"), "removed": F.lit(None).cast("int"), "judged": F.lit(None).cast("boolean")})
+        rows = written(rows, "records")
+        if self.settings.trace_path:
+            score = F.try_divide(F.col("kept"), F.col("kept") + F.col("removed")).cast("double")
+            noted = {"thread": F.col("request_id").cast("string"), "kind": F.lit("step"), "name": F.col("route"), "output": F.col("section"), "score": score, "level": F.when(F.col("failed"), "ERROR"), "ts": F.current_timestamp()}
+            logs.append(rows.select(*((noted[f.name] if f.name in noted else F.lit(None).cast(f.dataType)).alias(f.name) for f in schemas.TRACE.fields)), self.settings.trace_path)
+        if not self.settings.trajectories:
+            return
         own = {"thread": F.col("request_id").cast("string"), "seq": F.lit(k), "node": F.col("route"), "tool": F.when(F.col("route").isin(*planning.JUDGED, "translate"), F.col("route")), "seconds": F.lit(round(seconds, 3)), "kept": F.col("kept"), "removed": F.col("removed"), "judged": F.col("judged"), "ok": ~F.col("failed"), "items": F.col("calls"), "ts": F.current_timestamp()}
         logs.save_trajectories(rows.select(*(own[f.name].alias(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.TRAJECTORY.fields if f.name != "day")), self.settings.trajectories)
 

@@ -232,13 +232,14 @@ def answer_metrics(answers: DataFrame, expected: DataFrame, by: list[str]) -> Da
 # Runs -------------------------------------------------------------------------------------------------------------
 
 
-def node_durations(updates: DataFrame, starts: DataFrame) -> DataFrame:
+def node_durations(updates: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Updates with `seconds` since the one before in the same run, or since the run's start; pauses drop out.
 
-    starts (thread, run_no, ts). The wait between a pause and the resumed run is in no duration.
+    starts (thread, run_no, ts): when each run began, if that is known; else a run begins with its first update. The wait
+    between a pause and the resumed run is in no duration.
     """
     run = Window.partitionBy("thread", "run_no").orderBy("ts", "seq")
-    rows = updates.join(starts.select("thread", "run_no", F.col("ts").alias("began")), ["thread", "run_no"])
+    rows = updates.withColumn("began", F.col("ts")) if starts is None else updates.join(starts.select("thread", "run_no", F.col("ts").alias("began")), ["thread", "run_no"])
     before = F.coalesce(F.lag("ts").over(run), F.col("began"))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     rows = rows.withColumn("seconds", F.round((micros(F.col("ts")) - micros(before)) / 1e6, 3))

@@ -118,8 +118,8 @@ def updates(t: Tables):
 
 @query(f"WITH {_UPDATES} SELECT event_id, round((epoch_us(ts) - coalesce(epoch_us(lag(ts) OVER (PARTITION BY user_id, run_no ORDER BY ts, event_id)), epoch_us(began))) / 1e6, 3) AS seconds FROM u QUALIFY event_type <> 'error'")
 def node_durations(t: Tables):
-    rows, starts = updates(t)
-    return planning.node_durations(rows, starts).select(F.col("seq").alias("event_id"), "seconds")
+    rows, _ = updates(t)
+    return planning.node_durations(rows).select(F.col("seq").alias("event_id"), "seconds")
 
 
 @query("""SELECT user_id, round(sum(value), 3) AS duration_s, count(*) AS nodes, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN event_id % 5 END), 0) AS BIGINT) AS kept, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS removed, count(*) FILTER (event_type = 'click') AS calls,

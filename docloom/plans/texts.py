@@ -115,7 +115,10 @@ def pseudo_translate(t: Tables):
     return t.benchmark.select("item_id", X.pseudo_translate(F.col("text")).alias("text"))
 
 
-@query()
+_JOINED = "CASE WHEN trim(raw) = '' THEN acc WHEN acc = '' THEN trim(raw) WHEN regexp_matches(acc, '\\p{L}-$') AND regexp_matches(trim(raw), '^\\p{Ll}') THEN left(acc, length(acc) - 1) || trim(raw) WHEN ends_with(acc, '-') THEN acc || trim(raw) ELSE acc || ' ' || trim(raw) END"
+
+
+@query(f"SELECT doc_id, regexp_replace(list_reduce(string_split(text, chr(10)), lambda acc, raw: {_JOINED}, ''), '\\s+', ' ', 'g') AS text FROM documents")
 def joined_lines(t: Tables):
     return t.documents.select("doc_id", X.join_lines(F.split("text", "\n")).alias("text"))
 

@@ -9,9 +9,8 @@
 from __future__ import annotations
 
 import json
-import threading
 import uuid
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .operators.search import MODES
+from .sources import logs
 
 MOST_CHARS, LEAST_CHARS, MOST_HITS = 500, 3, 10
 
@@ -47,10 +47,14 @@ def rows_of(df: DataFrame) -> list[dict]:
 
 
 class Service:
-    """What the routes do; agent requests run one after another in the background."""
+    """What the routes do; agent requests run one after another in the background, their states are a table of the folder.
+
+    Jobs that an earlier process left unfinished count as failed once a service is made for its folder.
+    """
 
     def __init__(self, engine: Engine):
-        self.engine, self.pool, self.jobs, self.lock = engine, ThreadPoolExecutor(1), {}, threading.Lock()
+        self.engine, self.pool, self.jobs = engine, ThreadPoolExecutor(1), logs.Jobs(engine.spark, f"{engine.root}/jobs")
+        self.jobs.recover()
 
     def documents(self) -> list[dict]:
         return rows_of(self.engine.catalogue.orderBy("doc_id"))
@@ -90,21 +94,20 @@ class Service:
 
     def start(self, body: dict) -> dict:
         request, name = text_of(body, "request"), uuid.uuid4().hex
+        self.jobs.put(self.engine.spark.createDataFrame([(name, "queued", "", 0, 0, 0)], "job_id string, status string, detail string, done int, total int, seq long").withColumn("ts", F.current_timestamp()))
 
-        def work() -> str:
+        def work(tell) -> str:
             return rows_of(self.engine.run(self.engine.spark.createDataFrame([(0, request)], "request_id long, request string")))[0]["message"]
 
-        with self.lock:
-            self.jobs[name] = self.pool.submit(work)
+        self.pool.submit(logs.run_job, self.jobs, name, work)
         return {"id": name}
 
     def state(self, name: str) -> dict | None:
-        job: Future | None = self.jobs.get(name)
-        if job is None:
+        """A job's state as it is on disk, where it outlives this process."""
+        row = self.jobs.now().where(F.col("job_id") == name).first()
+        if row is None:
             return None
-        if not job.done():
-            return {"status": "running" if job.running() else "queued"}
-        return {"status": "failed", "result": str(job.exception())[:200]} if job.exception() else {"status": "done", "result": job.result()}
+        return {"status": row["status"], **({"result": row["detail"]} if row["status"] in ("done", "failed") else {})}
 
 
 def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:

@@ -71,12 +71,14 @@ def test_budget_and_records(spark, engine, tmp_path):
     from docloom.sources import logs
 
     asked = spark.createDataFrame([(1, "sum up the water report"), (2, "compare the hills in the reports")], "request_id long, request string")
-    short = Engine(spark, engine.root, replace(engine.settings, max_calls=3, trajectories=str(tmp_path / "t")), engine.model, engine.judge_model)
+    short = Engine(spark, engine.root, replace(engine.settings, max_calls=3, trajectories=str(tmp_path / "t"), trace_path=str(tmp_path / "trace")), engine.model, engine.judge_model)
     got = {r["request_id"]: r["message"] for r in short.run(asked).collect()}
     assert got[1].startswith("Step 1 of 2 - summary") and "They fell" not in got[1]
     assert got[1].endswith("Not done: step 2 (question).\n\nThe limit of 3 model calls is reached.") and "limit" not in got[2]
     records = {(r["thread"], r["seq"]): r for r in logs.load_trajectories(spark, str(tmp_path / "t")).collect()}
     assert sorted(records) == [("1", 0), ("2", 0)] and records["1", 0]["kept"] == 1 and records["2", 0]["removed"] == 1 and all(r["ok"] and r["items"] == 2 for r in records.values())
+    traced = {r["thread"]: r for r in logs.Trace(spark, str(tmp_path / "trace")).rows().collect()}
+    assert traced["1"]["score"] == 1.0 and traced["2"]["score"] == 0.0 and traced["1"]["output"].startswith("Summary of Water report")
 
 
 def test_translation_steps(spark, engine, tmp_path):
@@ -170,7 +172,7 @@ def test_service(engine):
     import urllib.error
     import urllib.request
 
-    from docloom.service import serve
+    from docloom.service import Service, serve
 
     server = serve(engine, port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -196,5 +198,9 @@ def test_service(engine):
                 break
             time.sleep(0.5)
         assert status == 202 and state["status"] == "done" and "Forest report" in state["result"]
+        left = {"job_id": "lost", "status": "running", "detail": "", "done": 0, "total": 0, "seq": 1}
+        engine.spark.createDataFrame([tuple(left.values())], "job_id string, status string, detail string, done int, total int, seq long").withColumn("ts", F.current_timestamp()).write.mode("append").json(f"{engine.root}/jobs")
+        again = Service(engine)
+        assert again.state("lost") == {"status": "failed", "result": "interrupted by a restart"} and again.state(job["id"])["status"] == "done"
     finally:
         server.shutdown()
