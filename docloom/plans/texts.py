@@ -62,7 +62,31 @@ def page_units(t: Tables):
     return chunk.units(_lines(t)).select("doc_id", "pos", "text")
 
 
-@query()
+_SPLIT = """CASE WHEN length(text) <= 1000 THEN [text] ELSE (SELECT list_concat(z.out, CASE WHEN z.line <> '' THEN [z.line] ELSE [] END) FROM (SELECT list_reduce(
+  list_transform(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {'out': CAST([] AS VARCHAR[]), 'line': s}),
+  lambda a, x: CASE WHEN (CASE WHEN length(x.line) > 1000 THEN '' ELSE a.line END) <> '' AND length(CASE WHEN length(x.line) > 1000 THEN '' ELSE a.line END) + 1 + length(x.line) > 1000
+    THEN {'out': list_concat(a.out, [a.line]), 'line': x.line}
+    ELSE {'out': list_concat(a.out, list_transform(range(0, greatest(length(x.line) - 1, 0) // 1000), lambda i: trim(CASE WHEN i = 0 THEN a.line ELSE '' END || ' ' || substr(x.line, i * 1000 + 1, 1000)))),
+      'line': trim(CASE WHEN length(x.line) > 1000 THEN '' ELSE a.line END || ' ' || substr(x.line, (greatest(length(x.line) - 1, 0) // 1000) * 1000 + 1))} END,
+  {'out': CAST([] AS VARCHAR[]), 'line': ''}) AS z)) END"""
+# a page's pieces are walked one by one; a row of walk is a piece, the range that begins before it, and the range it ends
+_CHUNKS = f"""u AS (SELECT s.doc_id, page, pos, {_NORM} AS text, size < 0.85 * body AS note, ({_HEAD}) AND NOT size < 0.85 * body AS heading FROM sized s JOIN body USING (doc_id)
+  WHERE regexp_matches({_NORM}, '\\p{{L}}{{2,}}') AND NOT regexp_matches({_NORM}, '(\\.\\s?){{6,}}') AND NOT EXISTS (SELECT 1 FROM skip k WHERE k.doc_id = s.doc_id AND k.line = lower({_NORM}))),
+cut AS (SELECT doc_id, page, pos, note, heading AND length(text) <= 1000 AS heading, {_SPLIT} AS parts FROM u),
+piece AS (SELECT doc_id, page, note, heading, parts[i + 1] AS text, row_number() OVER (PARTITION BY doc_id, page ORDER BY note, pos, i) - 1 AS k FROM cut, unnest(range(len(parts))) AS t(i)),
+p AS (SELECT *, coalesce(sum(length(text) + 1) OVER w, 0) AS c, coalesce(sum(CAST(heading AS INT)) OVER w, 0) AS h, count(*) OVER (PARTITION BY doc_id, page) AS n,
+  heading OR (note AND NOT coalesce(lag(note) OVER (PARTITION BY doc_id, page ORDER BY k), true)) AS opens FROM piece WINDOW w AS (PARTITION BY doc_id, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pages AS (SELECT doc_id, page, list(c ORDER BY k) AS cs, list(h ORDER BY k) AS hs FROM p GROUP BY ALL),
+walk AS (SELECT doc_id, page, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS first, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS e FROM pages
+  UNION ALL SELECT doc_id, page, k, CASE WHEN full_ THEN first + len(list_filter(cs[first + 1 : k], lambda x: x < c - 151)) WHEN shut THEN k ELSE first END, CASE WHEN shut OR full_ THEN first END, CASE WHEN shut OR full_ THEN k END
+  FROM (SELECT *, NOT shut AND first < k AND c - cs[first + 1] + 1 + length(text) > 1000 AS full_ FROM (SELECT p.*, walk.first, pages.cs, opens AND p.h - hs[walk.first + 1] < p.k - walk.first AS shut
+    FROM walk JOIN p ON p.doc_id = walk.doc_id AND p.page = walk.page AND p.k = walk.k + 1 JOIN pages ON pages.doc_id = p.doc_id AND pages.page = p.page))),
+ranges AS (SELECT doc_id, page, f, e FROM walk WHERE e IS NOT NULL UNION ALL SELECT doc_id, page, first, k + 1 FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY k DESC) = 1),
+texts AS (SELECT r.doc_id, r.page, r.e, string_agg(text, ' ' ORDER BY k) FILTER (k >= f) AS text, arg_max(text, k) FILTER (heading) AS title FROM ranges r JOIN p ON p.doc_id = r.doc_id AND p.page = r.page AND p.k < r.e GROUP BY ALL),
+named AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM texts)"""
+
+
+@query(f"""WITH RECURSIVE {_LINES}, {_BODY}, {_SKIP}, {_CHUNKS} SELECT doc_id || ':p' || (page + 1) || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY page, e) - 1) AS passage_id, doc_id, page + 1 AS page, section, text FROM named WHERE length(text) >= 80""")
 def overlap_chunks(t: Tables):
     return chunk.passages(_lines(t))
 
