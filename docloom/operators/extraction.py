@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..functions import blocks as B
 from ..functions import markup as M
 from ..functions import text as X
+from ..storage import written
 
 LABEL_DIGITS, LABEL_GAP = 3, 0.6
 _BULLETS = frozenset(X.BULLETS)
@@ -148,8 +150,6 @@ def assemble(glyphs: DataFrame) -> DataFrame:
 
     Glyphs meet by page, so a document is spread over as many tasks as it has pages.
     """
-    from pyspark.sql.types import StructType
-
     folded = StructType([schemas.BLOCK[n] for n in _FOLDED])
     names = schemas.GLYPH.names
     pages = glyphs.select(*names).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "block", "line", "pos")
@@ -174,18 +174,23 @@ def split_leading_labels(blocks: DataFrame) -> DataFrame:
     return rows.select(*(F.when(F.col("part") == 1, one[c]).when(F.col("part") == 2, two[c]).otherwise(F.col("pos") * 2 if c == "pos" else F.col(c)).alias(c) if c in one else F.col(c) for c in blocks.columns))
 
 
-def parse_with(parse: Callable[[bytes], Iterator[dict]], files: DataFrame) -> DataFrame:
-    """Glyphs of files (doc_id, content) by a parser that yields glyph rows without doc_id; a file that raises gives none."""
-    schema = to_arrow_schema(schemas.GLYPH)
+def parse_with(parse: Callable[[bytes], Iterator[dict]], files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(glyphs, damaged) of files (doc_id, content): parse yields glyph rows without doc_id.
+
+    damaged (doc_id, error): files that the parser cannot read to their end; they have no glyphs.
+    """
+    kind = StructType([*schemas.GLYPH.fields, StructField("error", StringType())])
+    schema = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     rows = [{"doc_id": doc, **g} for g in parse(content)]
-                except Exception:  # a damaged file must not stop the others
-                    continue
+                except Exception as error:  # a damaged file must not stop the others
+                    rows = [{"doc_id": doc, "error": f"{type(error).__name__}: {error}"[:200]}]
                 for at in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 20_000], schema=schema)
 
-    return files.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, schemas.GLYPH)
+    read = written(files.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, kind), "glyphs")
+    return read.where("error is null").drop("error"), read.where("error is not null").select("doc_id", "error")

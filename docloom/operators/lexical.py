@@ -32,6 +32,8 @@ SHARD, BLOCK = 4096, 64
 #: Terms (with repeats) of a shard, beyond which it takes no more passages, and segments of a tier that make one of the next.
 SHARD_TERMS, MERGE = 1 << 21, 4
 POSTINGS = "postings"
+#: Part of the names of shared indexes: a change of the format above makes new ones.
+FORMAT = "shards-1"
 #: Scores are rounded to 5 places when all is summed; a sum that differs by less may tie.
 ROUNDING = 1e-5
 

@@ -9,7 +9,7 @@ from ..operators import evaluate
 from ..functions.text import pseudo_translate
 from ..operators.dense import Cells, dense_of, dense_topk, text_vectors
 from ..operators.retrieval import fuse, hash_counts, hash_embedding, l2_normalise, latest, missing, postings
-from ..operators.lexical import Index, spread_out
+from ..operators.lexical import FORMAT, Index, spread_out
 from ..operators.patterns import found_in
 from ..sources.snapshots import Conflict, versioned
 from ..sources.vectors import point_id
@@ -62,7 +62,7 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JO
 
 def index_of(t: Tables) -> Index:
     """The index of the documents: built once, then shared by all queries over the same files."""
-    path = path_for(t.documents, "index")
+    path = path_for(t.documents, f"index-{FORMAT}")
     index = Index(t.spark, path)
     try:
         return index if index.version is not None else Index.build(t.documents, path, "doc_id")
@@ -137,7 +137,7 @@ def bm25_doc_filter(t: Tables):
 @query(f"WITH {_BM25} SELECT query_id AS item_id, id AS doc_id, score, rank FROM lex")
 def bm25_appended(t: Tables):
     """The same ranking from an index that grew by four segments, which a tier has merged."""
-    path, parts = path_for(t.documents, "appended"), 4
+    path, parts = path_for(t.documents, f"appended-{FORMAT}"), 4
     index = Index(t.spark, path)
     for k in range(parts):
         if index.version is None or index.version <= k:

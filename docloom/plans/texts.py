@@ -9,7 +9,7 @@ from ..functions import language
 from ..functions import text as X
 from ..operators import chunk
 from ..operators.langid import LanguageModel
-from ..sources import html
+from ..sources import corpus, html
 from .registry import Tables, query
 
 _LINES = """lines AS (SELECT doc_id, CAST(u.pos AS INT) AS pos, CAST(u.pos // 40 AS INT) AS page, a[u.pos + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(range(len(a))) AS u(pos)),
@@ -213,3 +213,29 @@ def text_samples(t: Tables):
     """Samples of documents whose pages are 40 lines each."""
     pages = _lines(t).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "\n").alias("text"))
     return language.text_sample(pages).select("doc_id", F.md5("sample").alias("digest"))
+
+
+# lines of documents as blocks of a page: some rotated, some in a mathematical font
+_KINDS = f"""WITH {_LINES}, b AS (SELECT *, CASE WHEN pos % 11 = 0 THEN 'CMMI10' ELSE 'Times' END AS font, pos % 13 <> 0 AS horizontal, regexp_full_match(text, '[\\d\\s.,;:%°+\\-–—−()\\[\\]/×*≈<>~$€£]+') AS num FROM sized),
+k AS (SELECT *, CASE WHEN NOT horizontal THEN 'rotated' WHEN num THEN 'numeric' WHEN font = 'Times' AND regexp_matches(text, '\\p{{L}}{{2,}}') THEN 'translatable' ELSE 'other' END AS kind FROM b)"""
+
+
+def _page_blocks(t: Tables):
+    rows = _lines(t).withColumns({"font": F.when(F.col("pos") % 11 == 0, "CMMI10").otherwise("Times"), "horizontal": F.col("pos") % 13 != 0})
+    return rows.withColumn("lines", F.array("text"))
+
+
+@query(f"{_KINDS} SELECT doc_id, page, pos, kind FROM k WHERE page < 2")
+def block_kinds(t: Tables):
+    return corpus.block_kind(corpus.keep_pages(_page_blocks(t), 2)).select("doc_id", "page", "pos", "kind")
+
+
+@query(f"{_KINDS} SELECT doc_id, count(*) AS blocks, count(*) FILTER (kind = 'translatable') AS translatable, count(*) FILTER (kind = 'numeric') AS numeric, count(*) FILTER (kind = 'rotated') AS rotated, CAST(sum(CASE WHEN kind = 'translatable' THEN length(text) ELSE 0 END) AS BIGINT) AS characters FROM k GROUP BY doc_id")
+def extraction_counts(t: Tables):
+    return corpus.extraction_summary(_page_blocks(t))
+
+
+@query(f"{_KINDS} SELECT doc_id, page, count(*) AS blocks, CAST(count(*) AS BIGINT) AS lines, array_to_string(list_sort(list(DISTINCT round(size, 1))), ',') AS sizes, array_to_string(list_sort(list(DISTINCT font)), ',') AS fonts FROM k GROUP BY doc_id, page")
+def page_dump(t: Tables):
+    found = corpus.page_summary(_page_blocks(t))
+    return found.select("doc_id", "page", "blocks", "lines", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"), F.array_join("fonts", ",").alias("fonts"))

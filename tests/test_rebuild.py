@@ -79,3 +79,18 @@ def test_routes(spark):
     pages = spark.createDataFrame([("a", 0, "The water of the rivers is high and it is not safe"), ("b", 0, "x")], "doc_id string, page int, text string")
     stated = spark.createDataFrame([("a", None), ("b", "fr-CA")], "doc_id string, stated string")
     assert {r["doc_id"]: r["language"] for r in language.document_languages(pages, stated).collect()} == {"a": "en", "b": "fr"}
+
+
+def test_damaged_files(spark):
+    """Files that a parser cannot read are told, and have no glyphs; small predicates of extraction."""
+    from docloom.operators import extraction
+
+    def parse(content):
+        for k, c in enumerate(content.decode()):
+            yield {"page": 0, "block": 0, "line": 0, "pos": k, "char": c}
+
+    files = spark.createDataFrame([("a", b"ab"), ("b", b"x\xff"), ("c", b"")], "doc_id string, content binary")
+    glyphs, damaged = extraction.parse_with(parse, files)
+    assert sorted((r["doc_id"], r["char"]) for r in glyphs.collect()) == [("a", "a"), ("a", "b")] and glyphs.columns[0] == "doc_id" and "error" not in glyphs.columns
+    assert [(r["doc_id"], r["error"].split(":")[0]) for r in damaged.collect()] == [("b", "UnicodeDecodeError")]
+    assert [extraction.is_symbol(c) for c in "•\x07\ue000a\t"] == [True, True, True, False, False]
