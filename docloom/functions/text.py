@@ -65,8 +65,7 @@ def has_words(text: Column) -> Column:
 
 def normalise_numbers(text: Column) -> Column:
     """Thousands spaces removed, decimal commas as points."""
-    joined = F.regexp_replace(text, r"(?U)(?<=\d)[   ](?=\d{3}\b)", "")
-    return F.regexp_replace(joined, r"(?<=\d),(?=\d)", ".")
+    return F.regexp_replace(F.regexp_replace(text, "(?U)" + THOUSANDS_SPACE, ""), DECIMAL_COMMA, ".")
 
 
 def numbers(text: Column) -> Column:
@@ -148,7 +147,7 @@ def compact(text: Column) -> Column:
 
 def keep_markers(text: Column, valid: Column) -> Column:
     """Drops [n] markers whose n is not in valid, bold marks, and space before punctuation."""
-    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d{1,2})\]"), F.lit(1)))
+    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)))
     bad = F.filter(marks, lambda m: ~F.array_contains(valid, m.cast("int")))
     kept = F.aggregate(bad, text, lambda t, m: F.replace(t, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
     return F.trim(F.regexp_replace(F.replace(kept, F.lit("**"), F.lit("")), r"\s+([.,;])", "$1"))

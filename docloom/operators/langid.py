@@ -58,8 +58,11 @@ class LanguageModel:
     @classmethod
     def fit(cls, rows: DataFrame, per_language: int = PER_LANGUAGE, most_grams: int = GRAMS) -> LanguageModel:
         """rows (text, lang). Of each language so many texts count, by hash order: a bounded sample."""
-        turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-        some = rows.where("text is not null and lang is not null").select("lang", "text").withColumn("turn", turn).where(F.col("turn") <= per_language)
+        own = rows.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+        turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        # hashes are ranked without texts; of equal texts one comes
+        first = own.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= per_language)
+        some = own.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h", "turn").agg(F.min("text").alias("text"))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[str, Counter] = {}
