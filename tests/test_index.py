@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import schemas
-from docloom.operators import lexical
+from docloom.operators import dense, lexical
 from docloom.operators.dense import Cells, dense_topk, fit_cells
 from docloom.operators.lexical import Index
 from docloom.sources import corpus
@@ -185,3 +185,25 @@ def test_recall_on_embeddings(spark, tmp_path):
     cells = Cells.build(rows, str(tmp_path / "cells"))
     recall = lambda probes: len(want & {(r["query_id"], r["id"]) for r in cells.topk(asked, 10, probes).collect()}) / len(want)
     assert cells.probes < len(cells.centroids) and recall(None) >= 0.9 and recall(len(cells.centroids)) == 1.0
+
+
+def test_dense_without_broadcast(spark):
+    """Pairs meet in parts of a grid: no side is broadcast, a part gives k rows a query, copies and null vectors included."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") != 7, F.when(F.col("id") < 2900, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.6), F.lit(0.8)))).alias("v"))
+    asked = rows.where("id % 20 = 0 or id = 7").withColumnRenamed("id", "query_id")
+    found = dense_topk(rows, asked, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    near, far = [i for i in range(2900) if i != 7], list(range(2900, 3000))
+    assert got == {q: [(i, 1.0) for i in (near if q < 2900 else far) if i != q][:3] for q in range(0, 3000, 20)}
+    names = rows.select(F.format_string("n%04d", "id").alias("id"), "v")
+    few = dense_topk(names, asked.where("query_id in (0, 2900)"), 3, same_ids=False).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in few] == ["n0000", "n0001", "n0002", "n2900", "n2901", "n2902"]
+    held, dense.HELD = dense.HELD, 400
+    try:  # many columns of queries
+        assert sorted(map(tuple, dense_topk(rows, asked, 3).collect())) == sorted(map(tuple, found.collect()))
+    finally:
+        dense.HELD = held
