@@ -17,6 +17,8 @@ NOTHING = -(2**62)
 FREE = 2**31 - 1
 #: Pairs of a page's boxes and obstacles up to which they are looked at all at once.
 MATRIX = 1 << 14
+#: Pairs of such pages that are looked at in one go.
+PAIRS = 1 << 18
 
 
 class Ridge:
@@ -91,9 +93,24 @@ def first_ahead(asked: list[tuple[int, int, int]], obstacles: list[tuple[int, in
 
 def few_ahead(low: np.ndarray, high: np.ndarray, start: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """The same for a page whose pairs of boxes and obstacles are few: all of them at once; FREE where nothing is ahead."""
-    a, b, near, far = taken
-    beside = (a <= high[:, None]) & (b >= low[:, None]) & (far >= start[:, None])
-    return np.where(beside, np.maximum(near, start[:, None]), FREE).min(axis=1, initial=FREE)
+    return pages_ahead(low, high, start, np.zeros(len(low), int), taken, np.zeros(taken.shape[1], int))
+
+
+def pages_ahead(low: np.ndarray, high: np.ndarray, start: np.ndarray, page: np.ndarray, taken: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """few_ahead of many pages at once. page and of: the page of each box and of each obstacle, both in order."""
+    first, last = np.searchsorted(of, page), np.searchsorted(of, page, "right")
+    many = last - first
+    out = np.full(len(low), FREE, np.int64)
+    some = np.flatnonzero(many)
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(many[some]) // PAIRS)) + 1):
+        if not len(part):
+            continue
+        ends = np.cumsum(many[part])
+        box = np.repeat(part, many[part])
+        a, b, near, far = taken[:, np.arange(ends[-1]) + np.repeat(first[part] - ends + many[part], many[part])]
+        beside = (a <= high[box]) & (b >= low[box]) & (far >= start[box])
+        out[part] = np.minimum.reduceat(np.where(beside, np.maximum(near, start[box]), FREE), ends - many[part])
+    return out
 
 
 def with_cells(page: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -103,13 +120,15 @@ def with_cells(page: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def ahead(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         asked, low, high, start, far = (rows.column(c).to_numpy() for c in ("asked", "low", "high", "start", "far"))
         cells = np.full(len(asked), FREE, np.int64)
-        for a, b in zip(starts, np.append(starts[1:], len(asked)), strict=True):
-            boxes, taken = a + np.flatnonzero(asked[a:b]), a + np.flatnonzero(~asked[a:b])
-            if len(boxes) * len(taken) <= MATRIX:
-                cells[boxes] = few_ahead(low[boxes], high[boxes], start[boxes], np.stack([low[taken], high[taken], start[taken], far[taken]]))
-            else:
-                found = first_ahead(list(zip(low[boxes].tolist(), high[boxes].tolist(), start[boxes].tolist(), strict=True)), list(zip(*(x[taken].tolist() for x in (low, high, start, far)), strict=True)))
-                cells[boxes] = [FREE if c is None else c for c in found]
+        page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(asked))))
+        few = (np.bincount(page[asked], minlength=len(starts)) * np.bincount(page[~asked], minlength=len(starts)) <= MATRIX)[page]
+        boxes, taken = np.flatnonzero(asked & few), np.flatnonzero(~asked & few)
+        cells[boxes] = pages_ahead(low[boxes], high[boxes], start[boxes], page[boxes], np.stack([low[taken], high[taken], start[taken], far[taken]]), page[taken])
+        for a in np.unique(page[~few]):
+            rest = np.flatnonzero(page == a)
+            boxes, taken = rest[asked[rest]], rest[~asked[rest]]
+            found = first_ahead(list(zip(low[boxes].tolist(), high[boxes].tolist(), start[boxes].tolist(), strict=True)), list(zip(*(x[taken].tolist() for x in (low, high, start, far)), strict=True)))
+            cells[boxes] = [FREE if c is None else c for c in found]
         out = rows.drop_columns(["asked", "far"]).append_column("cell", pa.array(cells.astype(np.int32), mask=cells == FREE))
         return out.filter(pa.array(asked)).combine_chunks()
 

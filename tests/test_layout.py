@@ -157,3 +157,17 @@ def test_sweep_line():
             low, high, start = np.array(asked).T
             assert [None if c == FREE else c for c in few_ahead(low, high, start, np.array(taken).T).tolist()] == want
     assert first_ahead([(0, 5, 0)], []) == [None]
+
+
+def test_pages_swept_together(monkeypatch):
+    """Small pages of a batch are looked at in one go, pages without boxes or without obstacles among them."""
+    from docloom.operators import sweep
+
+    monkeypatch.setattr(sweep, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    page, of = np.sort(rng.integers(0, 40, 150)), np.sort(rng.integers(0, 40, 150) // 2 * 2)
+    low, start = rng.integers(0, 60, 150), rng.integers(0, 60, 150)
+    high, taken = low + rng.integers(-2, 9, 150), rng.integers(0, 60, (4, 150))
+    taken[1] += 20
+    want = [min((max(n, s) for a, b, n, f in taken[:, of == p].T.tolist() if a <= h and b >= lo and f >= s), default=sweep.FREE) for p, lo, h, s in zip(page, low.tolist(), high.tolist(), start.tolist(), strict=True)]
+    assert sweep.pages_ahead(low, high, start, page, taken, of).tolist() == want
