@@ -192,14 +192,17 @@ def body_boxes(blocks: DataFrame) -> DataFrame:
 
 
 def text_columns(boxes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """boxes with `left` and `right`: the column of paragraphs that span a box's left edge, else all of the page's."""
+    """boxes with `left` and `right`: the column of paragraphs that span a box's left edge, else all of the page's.
+
+    A page's distinct paragraph edges meet its boxes as one list, so that boxes are neither paired nor grouped.
+    """
     keys = [c for c in boxes.columns if c not in (*PAGE, "box")]
-    over = (F.col("o.x0") - 2 <= F.col("box.x0")) & (F.col("box.x0") < F.col("o.x1"))
-    met = boxes.join(bodies.select(*PAGE, F.col("box").alias("o")), PAGE).withColumn("over", over)
-    own = lambda f, k: F.coalesce(f(F.when(F.col("over"), F.col(k))), f(F.col(k)))
-    edges = met.groupBy(*PAGE, *keys).agg(own(F.min, "o.x0").alias("left"), own(F.max, "o.x1").alias("right"))
-    rows = boxes.join(edges, [*PAGE, *keys], "left")
-    return rows.select(*PAGE, *keys, "box", F.coalesce("left", "box.x0").alias("left"), F.coalesce("right", "box.x1").alias("right"))
+    edges = bodies.select(*PAGE, F.struct("box.x0", "box.x1").alias("o")).groupBy(*PAGE).agg(F.collect_set("o").alias("o"))
+    rows = boxes.join(edges, PAGE, "left")
+    x0 = F.col("box.x0")
+    over = F.filter("o", lambda o: (o["x0"] - 2 <= x0) & (x0 < o["x1"]))
+    own = lambda f, k: F.coalesce(f(F.transform(over, lambda o: o[k])), f(F.transform("o", lambda o: o[k])), F.col(f"box.{k}"))
+    return rows.select(*PAGE, *keys, "box", own(F.array_min, "x0").alias("left"), own(F.array_max, "x1").alias("right"))
 
 
 def insert_boxes(targets: DataFrame, obstacles: DataFrame, panels: DataFrame, pages: DataFrame) -> DataFrame:

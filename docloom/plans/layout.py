@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import blocks as B
 from ..operators import extraction, layout
+from ..storage import dealt
 from .registry import Tables, query
 
 _BOX = """boxes AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, CAST(l_partkey % 37 AS DOUBLE) * 3 AS x0, CAST(l_suppkey % 41 AS DOUBLE) * 3 AS y0, CAST(l_partkey % 37 AS DOUBLE) * 3 + 10 + CAST(l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 41 AS DOUBLE) * 3 + 12 AS y1,
@@ -19,7 +20,7 @@ _PAIRS = f"{_BOX}, pairs AS (SELECT a.page, a.k AS one, b.k AS two, {_SIDES} FRO
 def boxes(t: Tables):
     x, y = (F.col("l_partkey") % 37).cast("double") * 3, (F.col("l_suppkey") % 41).cast("double") * 3
     q, order = F.col("l_quantity").cast("double"), Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return t.lineitem.select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("k"), B.box(x, y, x + 10 + q, y + 12).alias("box"), F.format_string("item %d", "l_linenumber").alias("text"), F.col("l_returnflag").alias("flag"), q.alias("quantity"))
+    return dealt(t.lineitem, "l_orderkey").select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("k"), B.box(x, y, x + 10 + q, y + 12).alias("box"), F.format_string("item %d", "l_linenumber").alias("text"), F.col("l_returnflag").alias("flag"), q.alias("quantity"))
 
 
 def page_blocks(t: Tables):

@@ -7,10 +7,13 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Rows of a partition.
+ROWS = 1 << 18
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,6 +45,12 @@ def path_for(source: DataFrame, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{seen.hexdigest()[:32]}"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many partitions as keep each at about ROWS, so that a task's memory does not grow with them."""
+    parts = ceil(rows.count() / ROWS)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written and read again: computed once, and whole after a lost executor."""
     path = shared_path(df.sparkSession, name)

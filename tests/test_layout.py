@@ -171,3 +171,21 @@ def test_pages_swept_together(monkeypatch):
     taken[1] += 20
     want = [min((max(n, s) for a, b, n, f in taken[:, of == p].T.tolist() if a <= h and b >= lo and f >= s), default=sweep.FREE) for p, lo, h, s in zip(page, low.tolist(), high.tolist(), start.tolist(), strict=True)]
     assert sweep.pages_ahead(low, high, start, page, taken, of).tolist() == want
+
+
+def test_text_columns_by_page(spark, monkeypatch):
+    """A page's paragraphs meet its boxes as one list, not pair by pair; partitions grow with the rows."""
+    from docloom import storage
+
+    rows = [("d", p, k, (float(10 * k), 0.0, float(10 * k + 15), 9.0)) for p in range(30) for k in range(1 + p % 4)]
+    b = spark.createDataFrame(rows, BOXED)
+    bodies = b.where("k <> 1 and page <> 8")
+    found = L.text_columns(b, bodies)
+    assert "Generate" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and plan.count("Join") == 1
+    bare = {(r["page"], r["k"]): (r["left"], r["right"]) for r in found.collect()}
+    for _, p, k, (x0, _, x1, _) in rows:
+        own = [(10.0 * j, 10.0 * j + 15) for j in range(1 + p % 4) if j != 1 and p != 8]
+        over = [o for o in own if o[0] - 2 <= x0 < o[1]] or own or [(x0, x1)]
+        assert bare[p, k] == (min(o[0] for o in over), max(o[1] for o in over))
+    monkeypatch.setattr(storage, "ROWS", 4)
+    assert storage.dealt(b, "page").rdd.getNumPartitions() == -(-len(rows) // 4)
