@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 #: Rows of a partition.
 ROWS = 1 << 18
+#: Bytes of an Arrow batch between the JVM and a Python worker, for rows of long lists.
+BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,6 +57,33 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
 
 
+@contextlib.contextmanager
+def slim(spark: SparkSession):
+    """Arrow batches of BATCH_BYTES for the plans made and run within, where the session has Spark's default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, "67108864b")
+    if said == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if said == "67108864b":
+            spark.conf.unset(key)
+
+
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same batch function; at its end the worker, which Spark keeps for later stages, gives free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written and read again: computed once, and whole after a lost executor."""
     path = shared_path(df.sparkSession, name)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import schemas
+from docloom import schemas, storage
 from docloom.operators import dense, lexical
 from docloom.operators.dense import Cells, dense_topk, fit_cells
 from docloom.operators.lexical import Index
@@ -237,3 +237,29 @@ def test_hash_embedding_counts_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:2], 16) for w in "alpha beta alpha beta gamma".split())
     assert sorted(map(tuple, found.collect())) == sorted((1, b, n) for b, n in counts.items())
+
+
+def test_build_in_small_batches(spark, tmp_path, monkeypatch):
+    """Shards are inverted from batches of bounded bytes, however many passages a task reads; the session stays as it was."""
+    monkeypatch.setattr(storage, "BATCH_BYTES", 1 << 12)
+    made, said = lexical._invert, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def watched(segment):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    if batch.num_rows > 200:
+                        raise ValueError("a large batch")
+                    yield batch
+
+            yield from made(segment)(each())
+
+        return run
+
+    monkeypatch.setattr(lexical, "_invert", watched)
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.format_string("w%dq w%dq w%dq alpha beta", F.col("id") % 13, F.col("id") % 7, F.col("id") % 13).alias("text"))
+    index = Index.build(rows, str(tmp_path / "small"), "doc_id")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == said
+    got = {(r["term"], r["id"]): r["tf"] for r in index.postings.where("id < 200").collect()}
+    want = {(t, n): c for n in range(200) for t, c in Counter(f"w{n % 13}q w{n % 7}q w{n % 13}q alpha beta".split()).items()}
+    assert got == want
