@@ -311,6 +311,25 @@ def test_toxicity_scores_every_window(monkeypatch):
     assert np.ptp(got[:30]) > 1e-4
 
 
+def test_toxicity_scores_by_a_graph(monkeypatch):
+    monkeypatch.setattr(toxicity, "GRAPH_BLOCK", 64, raising=False)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, n)).encode() for n in (0, 1, 23, 24, 25, 63, 64, 65, 87, 88, 500, 0)]
+    vocabulary = np.sort(toxicity.Words(texts[:8]).hashes)
+    net = toxicity.Network.start(vocabulary, rng.standard_normal(len(vocabulary)).astype(np.float32) * 3)
+    net.p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.5) for k, v in net.p.items()}
+    words = toxicity.Words(texts)
+    assert [len(d) for d in words.docs] == [len(t.split()) for t in texts]
+    want = net.all_logits(words)
+    assert np.allclose(net.all_logits(words, net.runner()), want, atol=2e-5)
+    with monkeypatch.context() as only:
+        only.setattr(toxicity.Network, "reads", None)  # whole windows are read by the graph alone
+        got = toxicity.scores(net, texts)
+    monkeypatch.setattr(toxicity.Network, "runner", lambda self: None)  # without onnxruntime
+    assert np.allclose(toxicity.scores(net, texts), got, atol=1e-5) and np.ptp(got) > 1e-3
+    assert len(toxicity.scores(net, [])) == 0
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     docs, columns = documents, documents.columns
