@@ -319,7 +319,7 @@ def fit(texts: list[bytes], y: np.ndarray, odds: float | None = None) -> Network
     step = 0
     for epoch in range(EPOCHS):
         if epoch:
-            rank = net.all_logits(words)
+            rank = net.all_logits(words, net.runner())
         top = np.array([b + rank[b : b + c].argmax() for b, c in zip(bounds, counts, strict=True)])
         some = rng.integers(0, counts[y == 0], (2, int((y == 0).sum()))) + bounds[y == 0]
         rows, goal = np.concatenate([top, some.ravel()]), np.concatenate([y, np.zeros(some.size, _f)])
@@ -335,7 +335,7 @@ def fit(texts: list[bytes], y: np.ndarray, odds: float | None = None) -> Network
                     v += (grad * grad - v) * _f(0.001)
                     net.p[n] -= _f(RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)) * m / (np.sqrt(v) + _f(1e-6))
     # logistic regression on the greatest logit and the log of the number of windows
-    rank = net.all_logits(words)
+    rank = net.all_logits(words, net.runner())
     x = np.column_stack([np.maximum.reduceat(rank, bounds), np.log(counts), np.ones(len(y))]).astype(float)
     w = np.array([1.0, 0.0, 0.0])
     for _ in range(50):
